@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkvault.llm import additive, line_dedup, mixing, near_dup, packing, pii, quality, secrets, threshold
+from chunkvault.llm import additive, line_dedup, mixing, near_dup, packing, pii, quality, secrets, suffix_dedup, threshold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_secret_scan, op2_mix_sources, op3_personal_data, op4_additive_search, op5_line_dedup, op6_near_duplicates, op7_threshold_top_k, op8_best_fit_packing, op9_quality]
+    found = [op1_secret_scan, op2_mix_sources, op3_personal_data, op4_additive_search, op5_line_dedup, op6_near_duplicates, op7_threshold_top_k, op8_best_fit_packing, op9_quality, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
