@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkvault.llm import additive, line_dedup, mixing, near_dup, packing, pii, quality, secrets, suffix_dedup, threshold
+from chunkvault.llm import additive, line_dedup, mixing, near_dup, oracles, packing, pii, quality, secrets, suffix_dedup, threshold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
