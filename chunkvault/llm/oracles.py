@@ -61,8 +61,8 @@ select * from ranked where rank <= 10
 
 REPEATS = """
 with bytes as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-pieces as materialized (select doc_id, 512 * k as at, substr(h, 1024 * k + 1, 1222) as c from bytes, unnest(range((length(h) // 2 + 511) // 512)) as t(k)),
-windows as materialized (select doc_id, at + j as p, md5_number(substr(c, 2 * j + 1, 200)) as m from pieces, unnest(range(least(512, greatest(length(c) // 2 - 99, 0)))) as t(j)),
+pieces as materialized (select doc_id, 512 * k as o, substr(h, 1024 * k + 1, 1222) as c from bytes, unnest(range((length(h) // 2 + 511) // 512)) as t(k)),
+windows as materialized (select doc_id, o + j as p, md5_number(substr(c, 2 * j + 1, 200)) as m from pieces, unnest(range(least(512, greatest(length(c) // 2 - 99, 0)))) as t(j)),
 firsts as (select m, min(doc_id::hugeint * 1000000000 + p) as first from windows group by m having count(*) > 1),
 repeated as (select doc_id, p from windows join firsts using (m) where doc_id::hugeint * 1000000000 + p > first),
 starts as (select doc_id, p, p > coalesce(lag(p) over (partition by doc_id order by p) + 100, -1) as new from repeated),
