@@ -2,42 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkvault.storage import forget, shared_dir, store  # noqa: F401  (operators take them from here)
+
 #: Words are maximal runs of anything but these six characters (fixed values).
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 #: Batches handed to Python stay small, as single texts may be very long.
 BATCH_ROWS = 512
 
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    return _fallback.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="chunkvault-"))
-
 
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chunkvault/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def sheltered(docs: DataFrame, own: Iterable[str]) -> DataFrame:
+    """docs with all columns but own named by their place, so that no name can clash with an operator's; see restored."""
+    own = set(own)
+    return docs.toDF(*[c if c in own else f"__{i}" for i, c in enumerate(docs.columns)])
 
 
-def forget(spark: SparkSession) -> None:
-    """Removes every table that store() has written under the shared folder."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/chunkvault"
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def restored(out: DataFrame, docs: DataFrame, added: Iterable[str] = ()) -> DataFrame:
+    """The columns of docs by their names, then added ones, which take the place of columns of that name."""
+    added = list(added)
+    kept = [(f"__{i}" if f"__{i}" in out.columns else c, c) for i, c in enumerate(docs.columns) if c not in added]
+    return out.select(*[F.col(inner).alias(c) for inner, c in kept], *added)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

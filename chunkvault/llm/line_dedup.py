@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import small_batches, store
+from chunkvault.llm.common import restored, sheltered, small_batches, store
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 SLOTS, KICKS = 4, 500
@@ -220,7 +220,9 @@ class LineIndex:
 
 
 def kept_lines(docs: DataFrame, drops: DataFrame, min_chars: int = 10, with_text: bool = True) -> DataFrame:
-    kept = [c for c in docs.columns if c != "text"]
+    """See LineIndex.apply; drops as LineIndex.drops gives them."""
+    inner = sheltered(docs, ["doc_id", "text"])
+    kept = [c for c in inner.columns if c != "text"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,13 +249,11 @@ def kept_lines(docs: DataFrame, drops: DataFrame, min_chars: int = 10, with_text
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *names])
 
     small_batches(docs.sparkSession)
-    joined = docs.withColumn("_id", F.col("doc_id").cast("long")).join(drops.withColumnsRenamed({"doc_id": "_key", "drops": "_drops"}), F.col("_id") == F.col("_key"), "left")
+    joined = inner.join(drops.withColumnsRenamed({"doc_id": "_key", "drops": "_drops"}), F.col("doc_id").cast("long") == F.col("_key"), "left")
     joined = joined.select(*kept, F.col("text").cast("binary").alias("_text"), "_drops")
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != "text"), *(["_text binary"] if with_text else []), "n_lines long, n_dropped long, kept_sha256 string"])
-    out = joined.mapInArrow(rows, schema)
-    if with_text:
-        out = out.select(*(F.col("_text").cast("string").alias("text") if c == "text" else c for c in docs.columns), "n_lines", "n_dropped", "kept_sha256")
-    return out
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in inner.dtypes if c != "text"), *(["_text binary"] if with_text else []), "n_lines long, n_dropped long, kept_sha256 string"])
+    out, added = joined.mapInArrow(rows, schema), ["n_lines", "n_dropped", "kept_sha256"]
+    return restored(out.withColumn("text", F.col("_text").cast("string")), docs, added) if with_text else out.select("doc_id", *added)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chunkvault.llm.common import bucket_bits, bucket_of, store, word_count
+from chunkvault.llm.common import bucket_bits, bucket_of, restored, sheltered, store, word_count
 
 ROUNDS = 12
 
@@ -174,10 +174,13 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         F.max("passes").alias("_passes"),
         F.array_sort(F.collect_list(F.when(F.col("more") > 0, F.struct(F.col("from").cast("int").alias("a"), F.col("more").cast("int").alias("n"))))).alias("_cuts"),
     )
-    joined = docs.join(shares.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    inner = sheltered(docs, ["doc_id", "text", "n_chars"])
+    joined = inner.join(shares.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     joined = joined.withColumn("_words", F.when(F.size("_cuts") > 0, words))
     part = F.array_join(F.flatten(F.transform("_cuts", lambda c: F.slice("_words", c["a"] + 1, c["n"]))), " ")
     texts = F.concat(F.array_repeat(F.col("text"), F.col("_passes").cast("int")), F.when(F.size("_cuts") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = joined.withColumn("_text", F.explode(texts))
-    return out.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = joined.withColumn("_text", F.explode(texts)).withColumn("text", F.col("_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return restored(out, docs)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import small_batches, store
+from chunkvault.llm.common import restored, sheltered, small_batches, store
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base rules. The e-mail rule is applied from each @, so that long runs cost no more than their length.
@@ -203,7 +203,7 @@ def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 2) -> DataFram
     """docs with spans replaced in text: base spans by their kind in brackets, disclosing terms by [term], or nothing if they never
     occur without the entity. doc_id tells documents apart."""
     spans = find_personal(docs, alpha, support).dropDuplicates(["doc_id"]).withColumnsRenamed({"doc_id": "_id", "base": "_base", "terms": "_terms"})
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")))
+    joined = sheltered(docs, ["doc_id", "text"]).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")))
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     base = F.transform("_base", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), F.element_at(names, s["kind"] + 1).alias("by")))
     terms = F.transform("_terms", lambda t: F.struct(t["start"].alias("a"), t["end"].alias("b"), F.when(t["sure"], "").otherwise("[term]").alias("by")))
@@ -215,7 +215,7 @@ def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 2) -> DataFram
         return F.struct(F.greatest(acc["at"], s["b"]).alias("at"), F.when(s["a"] >= acc["at"], F.concat(acc["out"], gap, s["by"])).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate(F.array_sort(F.concat(base, terms)), empty, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.select(*[F.when(F.col("text").isNotNull(), clean).alias(c) if c == "text" else c for c in docs.columns])
+    return restored(joined.withColumn("text", F.when(F.col("text").isNotNull(), clean)), docs)
 
 
 def span_digest(spans: list[tuple[int, int, int]]) -> str:

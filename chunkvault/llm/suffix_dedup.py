@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import small_batches, store
+from chunkvault.llm.common import restored, sheltered, small_batches, store
 from chunkvault.llm.induced import suffix_order
 
 WIDTH, GRAM = 100, 40
@@ -196,7 +196,8 @@ def coverage(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame
 def without_repeats(docs: DataFrame, covered: DataFrame, with_text: bool = True) -> DataFrame:
     """docs without the covered bytes, with n_bytes, n_removed, n_spans and kept_sha256; with_text keeps the text column (as what is left, replaced
     where a character was cut)."""
-    kept = [c for c in docs.columns if c != "text"]
+    inner = sheltered(docs, ["doc_id", "text"])
+    kept = [c for c in inner.columns if c != "text"]
     per_doc = covered.groupBy("doc_id").agg(F.collect_list("start").alias("_a"), F.collect_list("end").alias("_b")).withColumnRenamed("doc_id", "_key")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,12 +225,10 @@ def without_repeats(docs: DataFrame, covered: DataFrame, with_text: bool = True)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new_cols], [*kept, *names])
 
     small_batches(docs.sparkSession)
-    joined = docs.join(per_doc, F.col("doc_id").cast("long") == F.col("_key"), "left").select(*kept, F.col("text").cast("binary").alias("_text"), "_a", "_b")
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != "text"), *(["_text string"] if with_text else []), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    out = joined.mapInArrow(rows, schema)
-    if with_text:
-        out = out.select(*(F.col("_text").alias(c) if c == "text" else c for c in docs.columns), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return out
+    joined = inner.join(per_doc, F.col("doc_id").cast("long") == F.col("_key"), "left").select(*kept, F.col("text").cast("binary").alias("_text"), "_a", "_b")
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in inner.dtypes if c != "text"), *(["_text string"] if with_text else []), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
+    out, added = joined.mapInArrow(rows, schema), ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    return restored(out.withColumnRenamed("_text", "text"), docs, added) if with_text else out.select("doc_id", *added)
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
