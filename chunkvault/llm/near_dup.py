@@ -4,10 +4,11 @@ A document's set holds the hashes of its distinct five-word shingles; its sketch
 equal sets form a class, and only its smallest doc_id goes on. Inverted lists of the retained values generate pairs:
 two linked documents share at least `least` retained values (a link of similarity 0.85 shares fewer than 15 of 32
 with probability below 1e-6), so a document whose sketch has fewer values that anyone else retains is out,
-and of the others the rarest values but least - 1 are indexed. In each list every document is
-paired with the smallest; that links most of a large group with as many pairs as documents. Where a list still
-spans several components, each document outside its largest one is paired with all others of the list that
-the sketch of the union does not rule out. Exact Jaccard over the full sets confirms pairs; components
+and of the others the rarest values but least - 1 are indexed. The shingles that no other indexed document has bound
+what a document can share with any other, which rules out edited copies in numbers. In each list every document
+is paired with the one that has the least of them; that links most of a large group with as many pairs as documents.
+Where a list still spans several components, each document outside its largest one is paired with all others of the
+list that neither this bound nor the sketch of the union, from larger sketches, rules out. Exact Jaccard over the full sets confirms pairs; components
 come from the confirmed links, by label passing over tables in the shared folder.
 
 Edge cases: null texts and texts without words have empty sets and no links; fewer than five words are one shingle;
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from chunkvault.llm.common import small_batches, store
 
 K, LEAST = 32, 15
+#: The larger sketch that pairs of open lists are held against: similar pairs share fewer than 183 of 256 with probability below 1e-8.
+WIDE, WIDE_LEAST = 256, 183
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,7 +80,7 @@ def sketches(docs: DataFrame, k: int = K, width: int = 5) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(batch.column(1), width)
             prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            few = [s[:k].view(np.int64) for s in sets]
+            few = [(s[:k] >> np.uint64(1)).view(np.int64) for s in sets]  # 63 bits, so that Spark orders them alike
             ends = np.concatenate([[0], np.cumsum([len(s) for s in few])]).astype(np.int32)
             values = np.concatenate(few) if few else np.empty(0, np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int64())
@@ -89,25 +92,38 @@ def sketches(docs: DataFrame, k: int = K, width: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, f1 long, f2 long, sketch array<long>")
 
 
-def _similar(a: str, b: str, percent: int) -> str:
-    """Sizes that allow a link."""
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def _possible(n: str, p: str, m: str, q: str, percent: int) -> str:
+    """Whether sets of sizes n and m, with p and q members that none other has, can be similar enough."""
+    common = f"least({n} - {p}, {m} - {q})"
+    return f"100 * {common} >= {percent} * ({n} + {m} - {common})"
 
 
 def retained_lists(reps: DataFrame, k: int, least: int, percent: int) -> DataFrame:
-    """Rows (value, doc, n, sketch): the inverted lists of the rarest retained values of documents that may have a link."""
+    """Rows (value, doc, n): the inverted lists of the rarest retained values of documents that may have a link."""
     entries = reps.select("doc_id", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per_doc = entries.join(shared, "value").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
     need = F.least(F.lit(least), F.ceil(F.col("n") * percent / 100)).cast("int")
-    indexed = per_doc.join(reps.select("doc_id", "n", "sketch"), "doc_id").withColumn("extra", F.size("held") - need + 1).where("extra > 0")
-    return indexed.select(F.col("doc_id").alias("doc"), "n", "sketch", F.explode(F.slice(F.col("held.value"), F.lit(1), F.col("extra"))).alias("value"))
+    indexed = per_doc.join(reps.select("doc_id", "n"), "doc_id").withColumn("extra", F.size("held") - need + 1).where("extra > 0")
+    return indexed.select(F.col("doc_id").alias("doc"), "n", F.explode(F.slice(F.col("held.value"), F.lit(1), F.col("extra"))).alias("value"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+def private_counts(texts: DataFrame, width: int = 5) -> DataFrame:
+    """Rows (doc, p): how many shingles of a document of texts (doc_id, text) no other of them has."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(1), width)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["doc", "value"])
+
+    small_batches(texts.sparkSession)
+    held = texts.select("doc_id", "text").mapInArrow(rows, "doc long, value long").groupBy("value").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("df"))
+    return held.where("df = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("p"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int = 5) -> DataFrame:
+    """Those of pairs (a, b) whose full sets, of texts (doc_id, text), are similar enough."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -123,7 +139,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = 5) -
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["a", "b"])
 
-    small_batches(docs.sparkSession)
+    small_batches(texts.sparkSession)
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
@@ -147,25 +163,36 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_links(reps: DataFrame, docs: DataFrame, k: int = K, least: int = LEAST, percent: int = 85, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives, enough of them to connect every component, and the labels they give."""
-    lists = store(retained_lists(reps, k, least, percent), "near-lists")
-    stars = lists.groupBy("value").agg(F.min(F.struct("doc", "n")).alias("hub"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    stars = store(stars.select("value", F.col("hub.doc").alias("a"), F.col("hub.n").alias("hub_n")), "near-stars")
-    spokes = lists.join(stars, "value").where("a <> doc").where(_similar("n", "hub_n", percent))
-    first = store(spokes.select("a", F.col("doc").alias("b")).distinct(), "near-pairs")
-    links = store(confirmed(first, docs, percent, width), "near-found")
+    lists = store(retained_lists(reps, k, least, percent), "near-retained")
+    ids = lists.select(F.col("doc").alias("doc_id")).distinct()
+    texts = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    lists = lists.join(store(private_counts(texts, width), "near-private"), "doc", "left").withColumn("p", F.coalesce("p", F.lit(0)))
+    lists = store(lists.where(f"100 * (n - p) >= {percent} * n"), "near-lists")
+    hub = F.min(F.struct((F.col("p") / F.col("n")).alias("share"), "doc", "n", "p")).alias("hub")
+    stars = lists.groupBy("value").agg(hub, F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    stars = store(stars.select("value", F.col("hub.doc").alias("a"), F.col("hub.n").alias("hub_n"), F.col("hub.p").alias("hub_p")), "near-stars")
+    spokes = lists.join(stars, "value").where("a <> doc").where(_possible("n", "p", "hub_n", "hub_p", percent))
+    first = store(spokes.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct(), "near-pairs")
+    links = store(confirmed(first, texts, percent, width), "near-found")
     labels = components(links)
 
-    held = lists.join(stars.select("value"), "value").join(labels, "doc", "left").select("value", "doc", "n", "sketch", F.coalesce("label", "doc").alias("label"))
+    held = lists.join(stars.select("value"), "value").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     parts = held.groupBy("value", "label").agg(F.count(F.lit(1)).alias("docs"))
     largest = parts.groupBy("value").agg(F.max(F.struct("docs", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("value", F.col("top.label").alias("top"))
     open_lists = store(held.join(largest, "value"), "near-open")
-    outside = open_lists.where("label <> top").select("value", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as_"), F.col("label").alias("al"))
-    # The sketch of the union of two documents: its values that both retain estimate the similarity; 14 of 32 is far below 0.85.
-    union = F.slice(F.array_sort(F.array_union("as_", "sketch")), 1, k)
-    near = F.size(F.array_intersect(F.array_intersect("as_", "sketch"), union)) >= F.least(F.lit(least), F.ceil(F.least("an", "n") * percent / 100))
-    rest = outside.join(open_lists, "value").where("al <> label and (label = top or a < doc)").where(_similar("an", "n", percent)).where(near)
+    opened = open_lists.groupBy("doc").agg(F.collect_set("value").alias("values"))
+    wide = sketches(texts.join(opened.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), WIDE, width).select(F.col("doc_id").alias("doc"), "sketch")
+    open_lists = store(open_lists.join(opened.join(wide, "doc"), "doc"), "near-wide")
+    outside = open_lists.where("label <> top").select("value", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("label").alias("al"), F.col("sketch").alias("as_"), F.col("values").alias("av"))
+    # A pair comes up in the first list that both are in. The sketch of the union of two documents estimates their similarity by its
+    # values that both retain; of small sets it is the union itself.
+    once = F.col("value") == F.array_min(F.array_intersect("av", "values"))
+    both, union = F.array_intersect("as_", "sketch"), F.array_union("as_", "sketch")
+    in_union = F.size(F.array_intersect(both, F.slice(F.array_sort(union), 1, WIDE)))
+    near = F.when((F.col("an") <= WIDE) & (F.col("n") <= WIDE), F.size(both) * 100 >= F.size(union) * percent).otherwise(in_union * WIDE >= WIDE_LEAST * F.least(F.size(union), F.lit(WIDE)))
+    rest = outside.join(open_lists, "value").where("al <> label and (label = top or a < doc)").where(_possible("an", "ap", "n", "p", percent)).where(once).where(near)
     rest = rest.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(store(rest, "near-rest"), docs, percent, width)
+    more = confirmed(store(rest, "near-rest"), texts, percent, width)
     links = store(links.unionByName(more), "near-all")
     return links, components(links)
 
