@@ -102,3 +102,9 @@ def stream_latest(spark: SparkSession, path: str) -> DataFrame:
     """The last event of each user: versions in between are squashed."""
     last = read_events(spark, path).groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
     return run_completing(last, "stream-latest")
+
+
+def stream_progress(spark: SparkSession, path: str) -> DataFrame:
+    """How far each user's events have come."""
+    counts = read_events(spark, path).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last"))
+    return run_completing(counts, "stream-progress")

@@ -85,3 +85,26 @@ def test_package_stands_without_llm():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "chunkvault.llm" not in path.read_text()
+
+
+def test_wire_format():
+    from chunkvault.functions.wire import decode_manifest, encode_manifest
+
+    full = {
+        "header_fprint": {"major": -1, "minor": 2}, "version_id": b"v", "contents_fprint": {"major": 0, "minor": 0}, "len": 1 << 40, "ctime": -5, "ctime_ns": -7, "base_chunks_fprint": None,
+        "generated_by": b"x", "chunks": [1, -(1 << 63), (1 << 63) - 1], "bundled_chunks": [{"chunk_index": 3, "chunk_offset": 300, "chunk_fprint": None, "chunk_data": b"abc"}],
+    }
+    assert decode_manifest(encode_manifest(full)) == full
+    assert encode_manifest({}) == b"\x0a\x00" and decode_manifest(b"\x0a\x00")["chunks"] == []
+    assert encode_manifest({"len": 300}) == b"\x0a\x03\x28\xac\x02"
+    for bad in (b"", b"\x0a\x05\x28"):
+        with pytest.raises(ValueError):
+            decode_manifest(bad)
+
+
+def test_store_falls_back_only_where_unset(spark):
+    from chunkvault.storage import forget, shared_dir, store
+
+    first = store(spark.range(3).toDF("x"), "t")
+    assert first.count() == 3 and shared_dir(spark) == shared_dir(spark)
+    forget(spark)
