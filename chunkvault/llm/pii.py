@@ -41,6 +41,8 @@ TERM = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 NEAR_TERMS, NEAR_CHARS = 6, 160
 #: Bits of the bitmap of terms that stand near a mention.
 BITMAP_BITS = 23
+#: Terms whose counts a task sums before it hands them on.
+TERMS_HELD = 200_000
 
 
 def _luhn(digits: str) -> bool:
@@ -131,7 +133,7 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows (term, n_t): in how many documents each of terms is. The bitmap only spares the count of others; its size is fixed."""
+    """Rows (term, n_t): in how many documents each of terms is; some other terms too. The bitmap only spares most of those; its size is fixed."""
     place = F.shiftrightunsigned("term", 64 - BITMAP_BITS)
     words = terms.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
     found = words.toPandas()
@@ -140,6 +142,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     bitmap = bitmap.view(np.uint64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             texts = pc.fill_null(batch.column(0), b"")
             _, offsets, data = texts.buffers()
@@ -155,12 +158,16 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
             own = hit.astype(bool)[codes] if len(codes) else np.zeros(0, bool)
             pairs = np.unique(doc[own] * max(len(hashes), 1) + codes[own])
-            met, many = np.unique(pairs % max(len(hashes), 1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[met]), pa.array(many.astype(np.int64))], ["term", "many"])
+            terms, first = np.unique(np.concatenate([terms, hashes[pairs % max(len(hashes), 1)]]), return_inverse=True)
+            counts = np.bincount(first, np.concatenate([counts, np.ones(len(pairs), np.int64)]), len(terms)).astype(np.int64)
+            if len(terms) > TERMS_HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], ["term", "many"])
+                terms, counts = terms[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], ["term", "many"])
 
     small_batches(docs.sparkSession)
     counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(rows, "term long, many long")
-    return counts.groupBy("term").agg(F.sum("many").alias("n_t")).join(terms, "term", "left_semi")
+    return counts.groupBy("term").agg(F.sum("many").alias("n_t"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, alpha: float, support: int) -> DataFrame:
