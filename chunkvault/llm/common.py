@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,8 @@ from chunkvault.storage import forget, shared_dir, store  # noqa: F401  (operato
 #: Words are maximal runs of anything but these six characters (fixed values).
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
-#: Batches handed to Python stay small, as single texts may be very long.
-BATCH_ROWS = 512
+#: Batches handed to Python are bounded by rows and by bytes, as single texts may be very long.
+BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
 
 
 def sheltered(docs: DataFrame, own: Iterable[str]) -> DataFrame:
@@ -29,8 +30,18 @@ def restored(out: DataFrame, docs: DataFrame, added: Iterable[str] = ()) -> Data
     return out.select(*[F.col(inner).alias(c) for inner, c in kept], *added)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """store(), after which the shuffle files that led to it are let go, as they would add up to several times the input: Spark removes them once
+    the driver's garbage is collected."""
+    out = store(df, tag)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def word_count(text: Column) -> Column:
