@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkvault.storage import forget, shared_dir, store  # noqa: F401  (operators take them from here)
+from chunkvault.storage import forget, fresh_path, shared_dir, store  # noqa: F401  (operators take them from here)
 
 #: Words are maximal runs of anything but these six characters (fixed values).
 SPACES = r"\x20\x09-\x0D"
@@ -31,14 +31,24 @@ def restored(out: DataFrame, docs: DataFrame, added: Iterable[str] = ()) -> Data
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
-    """store(), after which the shuffle files that led to it are let go, as they would add up to several times the input: Spark removes them once
-    the driver's garbage is collected."""
-    out = store(df, tag)
+    """store(), packed tighter, after which the shuffle files that led to it are let go, as they would add up to several times the input: Spark
+    removes them once the driver's garbage is collected."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of settled() that nothing will read again."""
+    for df in tables:
+        if files := df.inputFiles():
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

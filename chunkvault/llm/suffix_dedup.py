@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import restored, sheltered, small_batches, store
+from chunkvault.llm.common import discard, restored, settled, sheltered, small_batches
 from chunkvault.llm.induced import suffix_order
 
 WIDTH, GRAM = 100, 40
 #: Bytes of contexts that one shard sorts, about; and the bounds of the bitmap of repeated anchors, in bits.
-SHARD_BYTES, LEAST_BITS, MOST_BITS = 6 << 20, 16, 28
+SHARD_BYTES, LEAST_BITS, MOST_BITS = 6 << 20, 16, 26
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE = np.uint64((1 << 24) - 1)
@@ -43,10 +43,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of strings that share an anchor: (document, first start, one past the last start, hash of the anchor). Starts are places in data."""
+    """Runs of strings that share an anchor: (document, first start, one past the last start, place of the anchor, its hash). Places are in data."""
     n, reach = len(data), width - gram + 1
     if n < width:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     powers = np.full(n + 1, _BASE)
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)
@@ -66,10 +66,11 @@ def contexts(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int
     inside = np.flatnonzero(np.arange(n - width + 1) + width <= bounds[doc + 1])
     least, doc = least[inside], doc[inside]
     if not len(inside):
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]))
     last = np.append(new[1:], len(inside)) - 1
-    return doc[new], inside[new], inside[last] + 1, hashes[(least[new] & _PLACE).astype(np.int64)]
+    at = (least[new] & _PLACE).astype(np.int64)
+    return doc[new], inside[new], inside[last] + 1, at, hashes[at]
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -84,17 +85,17 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _document_contexts(texts: pa.Array, width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, start in it, bytes, their place, one past the last start, anchor) by parts; a huge text is walked in windows that overlap by width - 1."""
+    """(document, start in it, bytes, their place, one past the last start, place of the anchor, anchor) by parts; a huge text is walked in windows that overlap by width - 1."""
     step = (1 << 24) - width
     for first, data, bounds in _parts(texts):
         if len(data) <= step:
-            doc, lo, hi, anchor = contexts(data, bounds, width, gram)
-            yield doc + first, lo - bounds[doc], data, lo, hi, anchor
+            doc, lo, hi, at, anchor = contexts(data, bounds, width, gram)
+            yield doc + first, lo - bounds[doc], data, lo, hi, at, anchor
             continue
         for at in range(0, len(data), step):
             part = data[at : at + step + width - 1]
-            doc, lo, hi, anchor = contexts(part, np.array([0, len(part)]), width, gram)
-            yield doc + first, lo + at, part, lo, hi, anchor
+            doc, lo, hi, place, anchor = contexts(part, np.array([0, len(part)]), width, gram)
+            yield doc + first, lo + at, part, lo, hi, place, anchor
 
 
 def _known(docs: DataFrame) -> DataFrame:
@@ -115,37 +116,57 @@ def repeated_anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def bitmap_of(anchors: DataFrame) -> np.ndarray:
-    """A bitmap with 16 bits an anchor, of 2^28 bits at most: what it lets through besides is counted out later."""
-    bits = max(LEAST_BITS, min(MOST_BITS, (16 * anchors.count()).bit_length()))
-    place = F.shiftrightunsigned("anchor", 64 - bits)
-    words = anchors.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    """A bitmap with 8 to 16 bits an anchor, of 2^26 bits at most: what it lets through besides is counted out later. It comes to the driver in
+    blocks of 32 KB, 256 at most."""
+    bits = max(LEAST_BITS, min(MOST_BITS, (8 * anchors.count()).bit_length()))
+    place = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))  # low bits: anchors are least hashes, so their high bits are alike
+    words = anchors.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+
+    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(4096, np.int64)
+        block[rows["w"].to_numpy(np.int64) & 4095] = rows["bits"].to_numpy(np.int64)
+        return pd.DataFrame({"block": [int(key[0])], "data": [block.tobytes()]})
+
+    out = np.zeros(max(1 << (bits - 6), 4096), np.uint64)
+    for r in words.groupBy(F.shiftright("w", 12).alias("block")).applyInPandas(packed, "block long, data binary").collect():
+        out[r["block"] * 4096 : r["block"] * 4096 + 4096] = np.frombuffer(r["data"], np.uint64)
+    return out[: 1 << (bits - 6)]
 
 
 def places(docs: DataFrame, bitmap: np.ndarray, width: int, gram: int) -> DataFrame:
-    """Rows (anchor, c1, c2, doc_id, start, context): each place of an anchor that may be repeated; c1 and c2 hash the context."""
-    shift = np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+    """Rows (anchor, c1, c2, doc_id, start, gram_at, context): each place of an anchor that may be repeated; c1 and c2 hash the context."""
+    low = np.uint64(len(bitmap) * 64 - 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for doc, start, data, lo, hi, anchor in _document_contexts(batch.column(1), width, gram):
-                at = anchor >> shift
-                hit = np.flatnonzero((bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+            for doc, start, data, lo, hi, place, anchor in _document_contexts(batch.column(1), width, gram):
+                bit = anchor & low
+                hit = np.flatnonzero((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
                 raw = data.tobytes()
                 spans = [raw[a : b + width - 1] for a, b in zip(lo[hit].tolist(), hi[hit].tolist(), strict=True)]
                 prints = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, spans)), "<i8").reshape(-1, 2)
-                columns = [pa.array(anchor[hit].view(np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(ids[doc[hit]]), pa.array(start[hit]), pa.array(spans, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "c1", "c2", "doc_id", "start", "context"])
+                columns = [pa.array(anchor[hit].view(np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(ids[doc[hit]]), pa.array(start[hit]), pa.array((place - lo)[hit].astype(np.int16)), pa.array(spans, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "c1", "c2", "doc_id", "start", "gram_at", "context"])
+
+    return _known(docs).mapInArrow(rows, "anchor long, c1 long, c2 long, doc_id long, start long, gram_at smallint, context binary")
+
 
-    return _known(docs).mapInArrow(rows, "anchor long, c1 long, c2 long, doc_id long, start long, context binary")
+def may_share(rows: pd.DataFrame, width: int, gram: int) -> np.ndarray:
+    """Contexts that may hold a string that another context of their anchor holds: such strings agree beside the gram on at least half of
+    the rest of their bytes, on the left or on the right."""
+    half, shared = (width - gram) // 2, np.zeros(len(rows), bool)
+    for side in (0, 1):
+        keys = [(s[g - half : g] if g >= half else b"") if side == 0 else (s[g + gram : g + gram + half] if len(s) >= g + gram + half else b"") for s, g in zip(rows["context"], rows["gram_at"].tolist(), strict=True)]
+        sides = pd.DataFrame({"anchor": rows["anchor"].to_numpy(), "key": keys})
+        shared |= sides.duplicated(keep=False).to_numpy() & np.array([len(k) > 0 for k in keys], bool)
+    return shared
 
 
-def covered_in_shard(rows: pd.DataFrame, width: int) -> pd.DataFrame:
+def covered_in_shard(rows: pd.DataFrame, width: int, gram: int) -> pd.DataFrame:
     """Rows (doc_id, start, end) that strings of one shard cover: each context is at its earliest place."""
-    rows = rows.sort_values(["doc_id", "start"], kind="stable")
+    rows = rows[rows.duplicated("anchor", keep=False)]
+    rows = rows[may_share(rows, width, gram)].sort_values(["doc_id", "start"], kind="stable")
     spans = rows["context"].to_list()
     sizes = np.fromiter(map(len, spans), np.int64, len(spans))
     text = np.frombuffer(b"".join(spans), np.uint8).astype(np.int64)
@@ -176,21 +197,24 @@ def covered_in_shard(rows: pd.DataFrame, width: int) -> pd.DataFrame:
 def coverage(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Rows (doc_id, start, end): byte ranges that repeat what starts earlier; they may overlap."""
     small_batches(docs.sparkSession)
-    anchors = store(repeated_anchors(docs, width, gram), "suffix-anchors")
-    found = store(places(docs, bitmap_of(anchors), width, gram), "suffix-places")
-    key = ["anchor", "c1", "c2"]
-    distinct = found.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("many"))
-    distinct = store(distinct.select(*key, F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"), "many"), "suffix-distinct")
-    repeats = found.select(*key, "doc_id", "start", F.length("context").alias("size")).join(distinct.where("many > 1"), key)
+    anchors = settled(repeated_anchors(docs, width, gram), "suffix-anchors")
+    bitmap = bitmap_of(anchors)
+    discard(anchors)
+    found = settled(places(docs, bitmap, width, gram), "suffix-places")
+    # A context tells its anchor, so its hash is key enough. The earliest place carries the bytes on.
+    key = ["c1", "c2"]
+    first = F.min(F.struct("doc_id", "start", "anchor", "gram_at", "context")).alias("first")
+    distinct = settled(found.groupBy(*key).agg(first, F.count(F.lit(1)).alias("many")).select(*key, "first.*", "many"), "suffix-distinct")
+    firsts = distinct.where("many > 1").select(*key, F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"))
+    repeats = found.select(*key, "doc_id", "start", F.length("context").alias("size")).join(firsts, key)
     whole = repeats.where("doc_id <> first_doc or start <> first_start").select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
 
-    mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
-    firsts = distinct.join(mixed, "anchor", "left_semi").select(*key, F.col("first_doc").alias("doc_id"), F.col("first_start").alias("start"))
-    to_sort = store(found.join(firsts, [*key, "doc_id", "start"], "left_semi").dropDuplicates([*key, "doc_id", "start"]).select("anchor", "doc_id", "start", "context"), "suffix-sorted")
-    shards = int(to_sort.agg(F.sum(F.length("context"))).first()[0] or 0) // SHARD_BYTES + 1
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    part = to_sort.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda rows: covered_in_shard(rows, width), "doc_id long, start long, end long")
-    return whole.unionByName(part)
+    shards = int(distinct.agg(F.sum(F.length("context"))).first()[0] or 0) // SHARD_BYTES + 1
+    to_sort = distinct.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "anchor", "doc_id", "start", "gram_at", "context")
+    part = to_sort.groupBy("shard").applyInPandas(lambda rows: covered_in_shard(rows, width, gram), "doc_id long, start long, end long")
+    covered = settled(whole.unionByName(part), "suffix-covered")
+    discard(found, distinct)
+    return covered
 
 
 def without_repeats(docs: DataFrame, covered: DataFrame, with_text: bool = True) -> DataFrame:
