@@ -115,6 +115,7 @@ def drawn_slots(plan: DataFrame, seed: int, slots: int, slots_per_shard: int) ->
     # In steps of at most a shard's slots, so that no single row stands for more.
     wide = kept.unionByName(lacking).where("from < to")
     parts = wide.select("shard", "src", "to", F.explode(F.expr(f"sequence(from, to - 1, {slots_per_shard})")).alias("first"))
+    parts = parts.repartition(max(1, slots // 4096), "shard", "src", "first")  # few rows stand for many slots
     return parts.select("shard", "src", F.explode(F.expr(f"sequence(first, least(first + {slots_per_shard}, to) - 1)")).alias("k"))
 
 
