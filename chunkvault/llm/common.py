@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +37,10 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what has just run is let go only after its last events are told
+        time.sleep(1)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
