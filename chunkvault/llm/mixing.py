@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chunkvault.llm.common import bucket_bits, bucket_of, restored, sheltered, store, word_count
+from chunkvault.llm.common import SPACES, WORD, bucket_bits, bucket_of, restored, sheltered, store, word_count
 
 ROUNDS = 12
 
@@ -165,22 +165,30 @@ def mix_sources(docs: DataFrame, block_words: int = 1024, slots_per_shard: int =
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents as the mix takes them, in docs' columns: a row for each whole pass over a document, and one
-    more with the words that the last, partial pass takes of it. doc_id tells documents apart: rows that repeat
+    more for each run of words that the last, partial pass takes of it, cut from the text as it is: blocks that follow
+    each other are one run, and a run of all words is the whole text. doc_id tells documents apart: rows that repeat
     one are each given that document's share."""
     mix = mix_sources(docs, **settings)
     passes = mix.plan.select("src", "passes")
     extra = F.when(F.col("uses") > F.col("passes"), F.col("y") - F.col("x")).otherwise(F.col("some"))
     cuts = mix.pieces().join(passes, "src").withColumn("more", extra).withColumn("from", F.col("x") + F.col("block") * mix.block_words - F.col("start"))
-    shares = cuts.groupBy("doc_id").agg(
-        F.max("passes").alias("_passes"),
-        F.array_sort(F.collect_list(F.when(F.col("more") > 0, F.struct(F.col("from").cast("int").alias("a"), F.col("more").cast("int").alias("n"))))).alias("_cuts"),
-    )
+    cut = F.struct(F.col("from").cast("int").alias("a"), (F.col("from") + F.col("more")).cast("int").alias("b"))
+    shares = cuts.groupBy("doc_id").agg(F.max("passes").alias("_passes"), F.array_sort(F.collect_list(F.when(F.col("more") > 0, cut))).alias("_cuts"))
     inner = sheltered(docs, ["doc_id", "text", "n_chars"])
     joined = inner.join(shares.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    joined = joined.withColumn("_words", F.when(F.size("_cuts") > 0, words))
-    part = F.array_join(F.flatten(F.transform("_cuts", lambda c: F.slice("_words", c["a"] + 1, c["n"]))), " ")
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("_passes").cast("int")), F.when(F.size("_cuts") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    firsts = F.filter("_cuts", lambda c, i: F.coalesce(F.get("_cuts", i - 1)["b"] != c["a"], F.lit(True)))
+    lasts = F.filter("_cuts", lambda c, i: F.coalesce(F.get("_cuts", i + 1)["a"] != c["b"], F.lit(True)))
+    runs = F.arrays_zip(F.transform(firsts, lambda c: c["a"]).alias("a"), F.transform(lasts, lambda c: c["b"]).alias("b"))
+    # Each word with the white space behind it, which only the last of a run loses.
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"{WORD}[{SPACES}]*+"), F.lit(0))
+
+    def run(w: Column, r: Column) -> Column:
+        part = F.rtrim(F.array_join(F.slice(w, r["a"] + 1, r["b"] - r["a"]), ""), F.lit(" \t\n\x0b\x0c\r"))
+        return F.when((r["a"] == 0) & (r["b"] >= F.size(w)), F.col("text")).otherwise(part)
+
+    none = F.array().cast("array<string>")
+    parts = F.when(F.size("_cuts") > 0, F.flatten(F.transform(F.array(words), lambda w: F.transform(runs, lambda r: run(w, r))))).otherwise(none)
+    texts = F.concat(F.array_repeat(F.col("text"), F.col("_passes").cast("int")), F.filter(parts, lambda t: t != ""))
     out = joined.withColumn("_text", F.explode(texts)).withColumn("text", F.col("_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

@@ -209,6 +209,23 @@ def test_mixed_documents_hold_what_is_taken(docs):
     assert {i: n for i, n in taken.items() if n} == {i: n for i, n in words.items() if n}
 
 
+def test_mixed_documents_keep_their_text(spark):
+    """Of a hot source with a small weight only a part is taken: whole documents as they are, others cut out of the text."""
+    text = lambda i: f"  def f{i}():\n\treturn  {i}\r\n\n" + "\n".join(f"\tline {i}  {j}" for j in range(i % 90)) + "\n"
+    texts = {i: text(i) for i in range(400)}
+    docs = spark.createDataFrame([(i, t, "a" if i % 4 else "b") for i, t in texts.items()], "doc_id long, text string, source string")
+    size = {i: len(brute.WORD.findall(t)) for i, t in texts.items()}
+    mixed = mixing.mixed_documents(docs, block_words=64).collect()
+    words = collections.Counter()
+    for r in mixed:
+        words[r.doc_id] += len(brute.WORD.findall(r.text))
+        assert r.text in texts[r.doc_id]
+        assert r.text == texts[r.doc_id] or len(brute.WORD.findall(r.text)) < size[r.doc_id]
+    assert words == {r.doc_id: r.taken for r in mixing.mix_sources(docs, block_words=64).taken().collect() if r.taken}
+    of_hot = [r for r in mixed if r.source == "a"]
+    assert len({r.doc_id for r in of_hot}) < 300 and sum(r.text == texts[r.doc_id] for r in of_hot) > 30
+
+
 def test_quality(spark, sf, docs, empty):
     labels = spark.read.parquet(f"{sf}/labels.parquet").unionByName(spark.createDataFrame([(None, 1, 0), (10**6, None, 0), (77777777, 1, 0)], "doc_id long, quality int, toxic int"))
     found = quality.score(docs, labels).collect()
