@@ -2,8 +2,8 @@
 
 A document's set holds the hashes of its distinct five-word shingles; its sketch the k smallest of them. Documents with
 equal sets form a class, and only its smallest doc_id goes on. Inverted lists of the retained values generate pairs:
-two linked documents share at least `least` retained values (a link of similarity 0.85 shares fewer than 15 of 32
-with probability below 1e-6), so a document whose sketch has fewer values that anyone else retains is out,
+two linked documents share at least `least` retained values (shared_least() derives it from the threshold: a link
+shares fewer with probability below 1e-7; at 0.85 it is 15 of 32, at 0.8 12), so a document whose sketch has fewer values that anyone else retains is out,
 and of the others the rarest values but least - 1 are indexed. The shingles that no other indexed document has bound
 what a document can share with any other, which rules out edited copies in numbers. In each list every document
 is paired with the one that has the least of them; that links most of a large group with as many pairs as documents.
@@ -18,6 +18,7 @@ sets; empty tables give empty results; columns besides doc_id and text are not r
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -30,9 +31,17 @@ from pyspark.sql import functions as F
 
 from chunkvault.llm.common import small_batches, store
 
-K, LEAST = 32, 15
-#: The larger sketch that pairs of open lists are held against: similar pairs share fewer than 183 of 256 with probability below 1e-8.
-WIDE, WIDE_LEAST = 256, 183
+#: Sketch sizes, the larger one for the pairs of open lists, and the probabilities that a link falls short of shared_least().
+K, MISS = 32, 1e-7
+WIDE, WIDE_MISS = 256, 2e-8
+
+
+def shared_least(k: int, percent: int, miss: float) -> int:
+    """The most values of which two sets of that similarity share fewer, among the k least of their union, with probability below miss."""
+    p, short, least = percent / 100, 0.0, 0
+    while least < k and (short := short + math.comb(k, least) * p**least * (1 - p) ** (k - least)) < miss:
+        least += 1
+    return max(least, 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -161,8 +170,10 @@ def components(links: DataFrame) -> DataFrame:
         labels = store(lower.join(over, "label", "left").select("doc", F.least("label", F.coalesce("next", "label")).alias("label")), "near-labels")
 
 
-def near_links(reps: DataFrame, docs: DataFrame, k: int = K, least: int = LEAST, percent: int = 85, width: int = 5) -> tuple[DataFrame, DataFrame]:
+def near_links(reps: DataFrame, docs: DataFrame, k: int = K, least: int | None = None, percent: int = 85, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives, enough of them to connect every component, and the labels they give."""
+    least = shared_least(k, percent, MISS) if least is None else least
+    wide_least = shared_least(WIDE, percent, WIDE_MISS)
     lists = store(retained_lists(reps, k, least, percent), "near-retained")
     ids = lists.select(F.col("doc").alias("doc_id")).distinct()
     texts = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
@@ -189,7 +200,7 @@ def near_links(reps: DataFrame, docs: DataFrame, k: int = K, least: int = LEAST,
     once = F.col("value") == F.array_min(F.array_intersect("av", "values"))
     both, union = F.array_intersect("as_", "sketch"), F.array_union("as_", "sketch")
     in_union = F.size(F.array_intersect(both, F.slice(F.array_sort(union), 1, WIDE)))
-    near = F.when((F.col("an") <= WIDE) & (F.col("n") <= WIDE), F.size(both) * 100 >= F.size(union) * percent).otherwise(in_union * WIDE >= WIDE_LEAST * F.least(F.size(union), F.lit(WIDE)))
+    near = F.when((F.col("an") <= WIDE) & (F.col("n") <= WIDE), F.size(both) * 100 >= F.size(union) * percent).otherwise(in_union * WIDE >= wide_least * F.least(F.size(union), F.lit(WIDE)))
     rest = outside.join(open_lists, "value").where("al <> label and (label = top or a < doc)").where(_possible("an", "ap", "n", "p", percent)).where(once).where(near)
     rest = rest.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = confirmed(store(rest, "near-rest"), texts, percent, width)
@@ -197,7 +208,7 @@ def near_links(reps: DataFrame, docs: DataFrame, k: int = K, least: int = LEAST,
     return links, components(links)
 
 
-def near_duplicates(docs: DataFrame, k: int = K, least: int = LEAST, percent: int = 85, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = K, least: int | None = None, percent: int = 85, width: int = 5) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     drawn = store(sketches(docs, k, width), "near-sketches")
     known = drawn.where("n > 0 and doc_id is not null")

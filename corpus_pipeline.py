@@ -31,8 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays; rows that repeat a doc_id are one document."""
-    found = store(near_dup.near_duplicates(docs), "pipeline-near")
+    """One document of each group of near duplicates, by five-word shingles of similarity 0.8 or more, stays; rows that repeat a doc_id are one document."""
+    found = store(near_dup.near_duplicates(docs, percent=80), "pipeline-near")
     left = _without(docs, found.where("not kept"))
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))

@@ -123,6 +123,12 @@ def test_near_copies_of_one_text(spark):
     assert {r.doc_id: r.component_id for r in found} == {i: c for i, (_, c) in want.items()}
 
 
+def test_shared_values_follow_the_threshold():
+    least = lambda percent: (near_dup.shared_least(near_dup.K, percent, near_dup.MISS), near_dup.shared_least(near_dup.WIDE, percent, near_dup.WIDE_MISS))
+    assert least(85) == (15, 183) and least(80) == (12, 167)
+    assert near_dup.shared_least(32, 100, 1e-7) == 32
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 

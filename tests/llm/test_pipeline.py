@@ -38,5 +38,14 @@ def test_stages(spark, sf):
     assert (packed.piece == 0).sum() == mixed.count()
 
 
+def test_near_copies_of_similarity_0_8_go(spark, sf):
+    words = [f"w{i}" for i in range(200)]
+    texts = {10 * g + j: " ".join(f"g{g}{w}" if (i + 7) % 50 or i // 50 >= j else f"e{j}{w}" for i, w in enumerate(words)) for g in range(3) for j in (0, 4)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for threshold, left in ((85, 6), (80, 3)):
+        assert len({c for _, c in brute.near_duplicates(list(texts.items()), threshold).values()}) == left
+    assert {r.doc_id for r in P.drop_near_duplicates(spark, docs, sf).collect()} == {0, 10, 20}
+
+
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
