@@ -1,12 +1,13 @@
 """Personal data: base shapes, and information-theoretic sanitisation of what reveals them.
 
-Base rules find e-mail and IP addresses, card and phone numbers; each distinct value is a protected entity. Terms near a
-mention may give it away. Over the corpus, n_t documents hold term t, n_c entity c, and n_ct have t near c. The
+Base rules find e-mail and IP addresses, card and phone numbers; each distinct value is a protected entity. The other terms of
+a document that holds it may give it away. Over the corpus, n_t documents hold term t, n_c entity c, and n_ct both. The
 pointwise information of t about c is log2(N n_ct / (n_c n_t)), the information content of c is log2(N / n_c); t
-discloses c once the first reaches the second divided by alpha (alpha 1: only terms never seen without c). Disclosing
-terms near a mention are spans of kind term: sanitise() removes those that never occur without the entity and
-generalises the others. n_t is counted over every text, for terms that a bitmap of fixed size lets through;
-n_ct and n_c are partial aggregates, and flagged pairs join mentions by an equi-join.
+discloses c once the first reaches the second divided by alpha (alpha 1: only terms never seen without c). Every
+occurrence of a disclosing term in a document of the entity is a span of kind term: sanitise() removes those that never occur
+without the entity and generalises the others. n_t is counted over every text, for terms that a bitmap of fixed size lets
+through. As n_ct is at most n_c, a term with n_t over N^(1 - 1/alpha) n_c^(1/alpha) cannot disclose c, so such pairs are never
+formed; n_ct and n_c are partial aggregates, and flagged pairs join documents by equi-joins.
 
 Edge cases: a null text counts as empty; repeated rows are scanned and counted each; empty tables give empty results; very
 long runs are scanned in linear time; columns besides doc_id and text are not read (sanitise passes them through).
@@ -38,8 +39,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Terms are runs of anything but ASCII space, control and punctuation characters.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 TERM = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
-NEAR_TERMS, NEAR_CHARS = 6, 160
-#: Bits of the bitmap of terms that stand near a mention.
+#: Bits of the bitmap of terms of documents that hold an entity.
 BITMAP_BITS = 23
 #: Terms whose counts a task sums before it hands them on.
 TERMS_HELD = 200_000
@@ -85,51 +85,77 @@ def _term(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode().translate(_LOWER)) - (1 << 63)
 
 
-def _near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-    """(entity, term, start, end) for the terms nearest each mention, outside all spans."""
-    covered = sorted((a, b) for _, a, b in spans)
-    starts = [a for a, _ in covered]
-    for kind, a, b in spans:
-        entity = _entity(kind, text[a:b])
-        lo, hi = max(0, a - NEAR_CHARS), min(len(text), b + NEAR_CHARS)
-        for words in ([m.span() for m in TERM.finditer(text, lo, a)][::-1], [m.span() for m in TERM.finditer(text, b, hi)]):
-            taken = 0
-            for s, e in words:
-                whole = (s == 0 or not TERM.match(text[s - 1])) and (e == len(text) or not TERM.match(text[e]))
-                at = np.searchsorted(starts, e) - 1
-                if not whole or e - s < 3 or text[s:e].isdigit() or (at >= 0 and covered[at][1] > s):
-                    continue
-                yield entity, _term(text[s:e]), s, e
-                taken += 1
-                if taken == NEAR_TERMS:
-                    break
-
-
-_MENTION = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+def _is_term(word: str) -> bool:
+    return len(word) >= 3 and not word.isdigit()
+
+
+def _marked(text: str, spans: list[tuple[int, int]], sure: dict[int, bool]) -> list[dict]:
+    """Every occurrence outside spans of the terms that sure has."""
+    covered, out, at = sorted(spans), [], 0
+    for m in TERM.finditer(text):
+        s, e = m.span()
+        while at < len(covered) and covered[at][1] <= s:
+            at += 1
+        if _is_term(m.group()) and not (at < len(covered) and covered[at][0] < e) and (term := _term(m.group())) in sure:
+            out.append({"start": s, "end": e, "sure": sure[term]})
+    return out
+
+
+def _coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct lowered words of binary texts and their hashes; for each word in the texts, its place among them and its text's."""
+    texts = pc.fill_null(texts, b"")
+    _, offsets, data = texts.buffers()
+    lowered = (data.to_pybytes() if data else b"").translate(_LOWER)
+    plain = pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(lowered), None, 0, texts.offset)
+    lists = pc.ascii_split_whitespace(plain)
+    words, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    coded = words.dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in known), np.int64, len(known))
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return known, hashes, codes, np.repeat(np.arange(len(texts)), np.diff(bounds))
+
+
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+_MARK = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("sure", pa.bool_())])
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, base, entities, near): row numbers the documents, and near holds the terms beside mentions."""
+    """Rows (row, doc_id, base, entities, text): row numbers the documents; text is that of documents with entities, else null."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = TaskContext.get().partitionId() << 40
         for batch in batches:
-            base, entities, near = [], [], []
+            base, entities, texts = [], [], []
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text or "")
                 base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
                 entities.append(sorted({_entity(k, text[a:b]) for k, a, b in spans}))
-                near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in _near(text, spans)] if spans else [])
+                texts.append(text if spans else None)
             n = batch.num_rows
-            columns = [pa.array(np.arange(nth, nth + n)), batch.column(0), pa.array(base, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.int64())), pa.array(near, pa.list_(_MENTION))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "base", "entities", "near"])
+            columns = [pa.array(np.arange(nth, nth + n)), batch.column(0), pa.array(base, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "base", "entities", "text"])
             nth += n
 
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    span, mention = "struct<kind:int,start:int,end:int>", "struct<entity:bigint,term:bigint,start:int,end:int>"
-    return docs.select("doc_id", "text").mapInArrow(rows, f"row long, doc_id {kind}, base array<{span}>, entities array<long>, near array<{mention}>")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"row long, doc_id {kind}, base array<struct<kind:int,start:int,end:int>>, entities array<long>, text string")
+
+
+def held_terms(found: DataFrame) -> DataFrame:
+    """Rows (row, term): the distinct terms of each document with entities."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, hashes, codes, doc = _coded(batch.column(1))
+            terms = np.fromiter(map(_is_term, known), bool, len(known))
+            own = terms[codes] if len(codes) else np.zeros(0, bool)
+            pairs, many = np.unique(doc[own] * max(len(known), 1) + codes[own]), max(len(known), 1)
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(at[pairs // many]), pa.array(hashes[pairs % many])], ["row", "term"])
+
+    small_batches(found.sparkSession)
+    return found.where("text is not null").select("row", F.col("text").cast("binary").alias("text")).mapInArrow(rows, "row long, term long")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -144,18 +170,9 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            texts = pc.fill_null(batch.column(0), b"")
-            _, offsets, data = texts.buffers()
-            lowered = (data.to_pybytes() if data else b"").translate(_LOWER)
-            plain = pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(lowered), None, 0, texts.offset)
-            lists = pc.ascii_split_whitespace(plain)
-            words, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            coded = words.dictionary_encode()
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            _, hashes, codes, doc = _coded(batch.column(0))
             at = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
             hit = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
             own = hit.astype(bool)[codes] if len(codes) else np.zeros(0, bool)
             pairs = np.unique(doc[own] * max(len(hashes), 1) + codes[own])
             terms, first = np.unique(np.concatenate([terms, hashes[pairs % max(len(hashes), 1)]]), return_inverse=True)
@@ -171,26 +188,40 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def disclosing(found: DataFrame, docs: DataFrame, alpha: float, support: int) -> DataFrame:
-    """Rows (entity, term, sure): the pairs whose term discloses the entity; sure if the term never occurs without it."""
-    n = max(found.count(), 1)
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term")
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    pairs = store(pairs, "pii-pairs")
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    counts = term_counts(docs, pairs.select("term").distinct())
-    joined = pairs.join(counts, "term").join(entities, "entity")
-    told = F.log2(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    content = F.log2(F.lit(float(n)) / F.col("n_c"))
-    return joined.where((told >= content / alpha) & (content > 0)).select("entity", "term", (F.col("n_ct") == F.col("n_t")).alias("sure"))
+    """Rows (row, term, sure): the terms of a document that disclose an entity of it; sure if a term never occurs without the entity."""
+    n = float(max(found.count(), 1))
+    entities = found.select("row", F.explode("entities").alias("entity"))
+    entities = store(entities.join(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")), "entity"), "pii-entities")
+    counts = store(term_counts(docs, held_terms(found)), "pii-counts")
+    most = lambda n_c: F.pow(F.lit(n), F.lit(1 - 1 / alpha)) * F.pow(F.col(n_c).cast("double"), F.lit(1 / alpha)) * (1 + 1e-9)
+    tops = entities.groupBy("row").agg(F.max("n_c").alias("top"))
+    rare = store(held_terms(found).join(counts, "term").join(tops, "row").where(F.col("n_t") <= most("top")).select("row", "term", "n_t"), "pii-terms")
+    pairs = rare.join(entities, "row").where(F.col("n_t") <= most("n_c"))
+    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t")).where(F.col("n_ct") >= support)
+    told = F.log2(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    content = F.log2(F.lit(n) / F.col("n_c"))
+    flagged = store(both.where((told >= content / alpha) & (content > 0)).select("entity", "term", (F.col("n_ct") == F.col("n_t")).alias("sure")), "pii-flagged")
+    return pairs.join(flagged, ["entity", "term"]).groupBy("row", "term").agg(F.max("sure").alias("sure"))
+
+
+def marked_terms(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows (row, terms): where the terms of hits (row, term, sure) stand in their documents, outside base spans."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            out = [_marked(text, [(x["start"], x["end"]) for x in base], {h["term"]: h["sure"] for h in own}) for text, base, own in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(_MARK))], ["row", "terms"])
+
+    small_batches(found.sparkSession)
+    per_row = hits.groupBy("row").agg(F.collect_list(F.struct("term", "sure")).alias("own"))
+    return found.join(per_row, "row").select("row", "text", "base", "own").mapInArrow(rows, "row long, terms array<struct<start:int,end:int,sure:boolean>>")
 
 
 def find_personal(docs: DataFrame, alpha: float = 1.25, support: int = 2) -> DataFrame:
     """Per document: doc_id, base (kind, start, end) by kind and start, and terms (start, end, sure) by start."""
     found = store(mentions(docs), "pii-found")
-    flagged = store(disclosing(found, docs, alpha, support), "pii-flagged")
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    hits = near.join(flagged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("sure").alias("sure"))
-    terms = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "sure"))).alias("terms"))
+    terms = marked_terms(found, disclosing(found, docs, alpha, support))
     out = found.select("row", "doc_id", "base").join(terms, "row", "left")
     return out.select("doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,sure:boolean>>")).alias("terms"))
 

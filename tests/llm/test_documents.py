@@ -62,6 +62,15 @@ def test_disclosing_terms_go(spark):
     assert all(clean[i] == texts[i] for i in range(60))
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    """A name in a letter's head and foot, far from the address, in all documents of the entity."""
+    gap = " ".join(f"w{i % 30}x" for i in range(300))
+    texts = [f"filler{i} some plain words {gap}" for i in range(60)] + [f"Zebulon of old {gap} write to zeb@example.org or to Zebulon {gap} Zebulon" if i % 2 else f"zeb@example.org Zebulon {gap}" for i in range(4)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all("Zebulon" not in clean[i] and "[email]" in clean[i] and gap in clean[i] for i in range(60, 64))
+    assert all(clean[i] == texts[i] for i in range(60))
+
+
 def test_line_dedup(docs, rows, empty):
     want = brute.line_dedup(rows)
     found = sorted([r.doc_id or -1, r.n_lines, r.n_dropped, r.kept_sha256] for r in line_dedup.line_digest(docs).collect())
