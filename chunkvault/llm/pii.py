@@ -7,7 +7,7 @@ discloses c once the first reaches the second divided by alpha (alpha 1: only te
 occurrence of a disclosing term in a document of the entity is a span of kind term: sanitise() removes those that never occur
 without the entity and generalises the others. n_t is counted over every text, for terms that a bitmap of fixed size lets
 through. As n_ct is at most n_c, a term with n_t over N^(1 - 1/alpha) n_c^(1/alpha) cannot disclose c, so such pairs are never
-formed; n_ct and n_c are partial aggregates, and flagged pairs join documents by equi-joins.
+formed; Entities that one document holds are judged by the same threshold (support 1). n_ct and n_c are partial aggregates, and flagged pairs join documents by equi-joins.
 
 Edge cases: a null text counts as empty; repeated rows are scanned and counted each; empty tables give empty results; very
 long runs are scanned in linear time; columns besides doc_id and text are not read (sanitise passes them through).
@@ -218,7 +218,7 @@ def marked_terms(found: DataFrame, hits: DataFrame) -> DataFrame:
     return found.join(per_row, "row").select("row", "text", "base", "own").mapInArrow(rows, "row long, terms array<struct<start:int,end:int,sure:boolean>>")
 
 
-def find_personal(docs: DataFrame, alpha: float = 1.25, support: int = 2) -> DataFrame:
+def find_personal(docs: DataFrame, alpha: float = 1.25, support: int = 1) -> DataFrame:
     """Per document: doc_id, base (kind, start, end) by kind and start, and terms (start, end, sure) by start."""
     found = store(mentions(docs), "pii-found")
     terms = marked_terms(found, disclosing(found, docs, alpha, support))
@@ -226,7 +226,7 @@ def find_personal(docs: DataFrame, alpha: float = 1.25, support: int = 2) -> Dat
     return out.select("doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,sure:boolean>>")).alias("terms"))
 
 
-def personal_digest(docs: DataFrame, alpha: float = 1.25, support: int = 2) -> DataFrame:
+def personal_digest(docs: DataFrame, alpha: float = 1.25, support: int = 1) -> DataFrame:
     """The columns of the contract."""
     found = find_personal(docs, alpha, support)
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -237,7 +237,7 @@ def personal_digest(docs: DataFrame, alpha: float = 1.25, support: int = 2) -> D
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], sha.alias("base_sha256"), joined(F.concat("base", terms)).alias("spans"))
 
 
-def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 2) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 1) -> DataFrame:
     """docs with spans replaced in text: base spans by their kind in brackets, disclosing terms by [term], or nothing if they never
     occur without the entity. doc_id tells documents apart."""
     spans = find_personal(docs, alpha, support).dropDuplicates(["doc_id"]).withColumnsRenamed({"doc_id": "_id", "base": "_base", "terms": "_terms"})

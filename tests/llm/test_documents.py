@@ -71,6 +71,13 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     assert all(clean[i] == texts[i] for i in range(60))
 
 
+def test_terms_beside_an_entity_of_one_document_go(spark):
+    texts = [f"filler{i} some plain words here" for i in range(200)] + ["some plain words here from Zebulon at zeb@example.org"]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert "Zebulon" not in clean[200] and "zeb@" not in clean[200] and "some plain words here" in clean[200]
+    assert all(clean[i] == texts[i] for i in range(200))
+
+
 def test_line_dedup(docs, rows, empty):
     want = brute.line_dedup(rows)
     found = sorted([r.doc_id or -1, r.n_lines, r.n_dropped, r.kept_sha256] for r in line_dedup.line_digest(docs).collect())
