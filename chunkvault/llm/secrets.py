@@ -6,7 +6,7 @@ chi-squared of the symbol counts, the number of runs above and below the middle
 correlation of neighbours. Each test is turned into an equivalence test, whose null is a departure as large as
 ordinary words have; a token is as random as its worst test says. Candidates are then held to a false-discovery
 rate (step-up rule) within their stratum of encoding and length, counted over the whole corpus on a
-grid of p-values, so the table of counts has a fixed bound.
+logarithmic grid of p-values, so the table of counts has a fixed bound.
 
 Edge cases: a null text counts as empty; empty tables give empty results; repeated rows are scanned each;
 columns besides doc_id and text are not read. Offsets are code points, ends exclusive.
@@ -39,7 +39,8 @@ ALPHABETS = {
 }
 #: Sum of squared letter frequencies of ordinary words.
 COINCIDENCE = 0.065
-GRID = 1000
+#: Cells of the grid a decade of p, which is rounded up to its cell, and decades: smaller p share the last cell.
+GRID, DECADES = 100, 15
 
 
 def match_spans(text: Column, pattern: str, kind: int, least: int = 0, group: int | None = None) -> Column:
@@ -62,8 +63,10 @@ def match_spans(text: Column, pattern: str, kind: int, least: int = 0, group: in
 
 
 def normal_cdf(z: Column) -> Column:
-    """The normal distribution function, by the usual logistic approximation."""
-    return 1 / (1 + F.exp(-F.greatest(F.least(z * 1.5976 + z * z * z * 0.07056, F.lit(500.0)), F.lit(-500.0))))
+    """The normal distribution function, by the usual logistic approximation; its far lower tail by the asymptotic series, from above."""
+    far = F.least(z, F.lit(-3.0))
+    tail = F.exp(-far * far / 2) / (-far * 2.5066282746310002) * (1 - 1 / (far * far) + 3 / (far * far * far * far))
+    return F.when(z < -3, tail).otherwise(1 / (1 + F.exp(-F.greatest(F.least(z * 1.5976 + z * z * z * 0.07056, F.lit(500.0)), F.lit(-500.0)))))
 
 
 def token_tests(token: Column) -> Column:
@@ -129,7 +132,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def candidate(s: Column, r: Column) -> Column:
         length = F.least(F.floor(F.log2(r["n"]) * 2), F.lit(30)).cast("int")
-        grid = F.greatest(F.ceil(r["p"] * GRID), F.lit(1)).cast("int")
+        decades = -F.log10(F.greatest(r["p"], F.lit(10.0**-DECADES)))
+        grid = (GRID * DECADES + 1 - F.floor(decades * GRID)).cast("int")
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat_ws("/", F.coalesce(r["enc"], F.lit("none")), length.cast("string")).alias("stratum"), grid.alias("grid"))
 
     cands = F.transform("tokens", lambda s: F.element_at(F.transform(F.array(token_tests(s["part"])), lambda r: candidate(s, r)), 1))
@@ -142,7 +146,7 @@ def cutoffs(scanned: DataFrame, rate: float) -> dict[str, int]:
     counts = scanned.select(F.explode("cands").alias("c")).groupBy("c.stratum", "c.grid").count()
     below, whole = W.partitionBy("stratum").orderBy("grid"), W.partitionBy("stratum")
     counts = counts.withColumn("upto", F.sum("count").over(below)).withColumn("m", F.sum("count").over(whole))
-    passed = counts.where(F.col("grid") / F.lit(float(GRID)) <= F.col("upto") / F.col("m") * rate)
+    passed = counts.where(F.pow(F.lit(10.0), (F.col("grid") - GRID * DECADES - 1) / F.lit(float(GRID))) <= F.col("upto") / F.col("m") * rate)
     return {r["stratum"]: r["cut"] for r in passed.groupBy("stratum").agg(F.max("grid").alias("cut")).collect()}
 
 

@@ -42,6 +42,16 @@ def test_random_tokens_tell_secrets_from_words(spark):
     assert not any("random" in found[i] for i in range(40, 100))
 
 
+def test_few_random_tokens_among_many_words(spark):
+    rng = np.random.default_rng(3)
+    abc = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    keys = ["".join(rng.choice(abc, 128)) for _ in range(5)]
+    paths = ["/".join(rng.choice(["Home", "and", "with", "some", "Plain", "words", "together", "here"], 40))[:128] for _ in range(3000)]
+    found = {r.doc_id: r.spans for r in secrets.secret_digest(spark.createDataFrame(list(enumerate(keys + paths)), "doc_id long, text string")).collect()}
+    assert sum("random" in found[i] for i in range(5)) >= 4
+    assert sum("random" in found[i] for i in range(5, 3005)) <= 1
+
+
 def test_personal(docs, rows, empty):
     found = pii.personal_digest(docs).collect()
     assert len(found) == len(rows)
