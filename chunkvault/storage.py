@@ -2,34 +2,105 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets Spark remove the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: dict[str, str] = {}
+_stored: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("stored", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a local folder only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir as the session has it. Where it is unset a local master gets a temporary folder of its own, as in tests; on a cluster
+    that is an error, since executors would not see the driver's folder."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if found:
         return found
-    return _fallback.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="chunkvault-"))
+    if not context.master.startswith(("local[", "local")) or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _fallback:
+        _fallback[context.applicationId] = tempfile.mkdtemp(prefix="chunkvault-")
+    return _fallback[context.applicationId]
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/chunkvault/{tag}-{uuid.uuid4().hex}"
+    """A path that nothing has used; what is written there goes with the application, or before (see tidy)."""
+    path = f"{shared_dir(spark)}/chunkvault/{tag}-{uuid.uuid4().hex}"
+    if (held := _stored.get()) is not None:
+        held.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session, put back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def store(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends, and lost executors cost nothing."""
+    """Writes df to the shared folder and reads it back: lineage ends, and lost executors cost nothing. The shuffle files that led to it go at
+    once, as nothing reads them again."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing will read again."""
+    for df in tables:
+        if files := df.inputFiles():
+            remove(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that leaves no stored table behind but those that its result reads."""
+
+    @functools.wraps(operator)
+    def run(*args, **settings) -> DataFrame:
+        outer, own = _stored.get(), []
+        token = _stored.set(own)
+        try:
+            out = operator(*args, **settings)
+        finally:
+            _stored.reset(token)
+        read = {f.rpartition("/")[0].rpartition("/")[2] for f in out.inputFiles()} if own else set()
+        for path in own:
+            if path.rpartition("/")[2] not in read:
+                remove(out.sparkSession, path)
+            elif outer is not None:
+                outer.append(path)
+        return out
+
+    return run
+
+
 def forget(spark: SparkSession) -> None:
     """Removes every table that store() has written under the shared folder."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/chunkvault")
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    remove(spark, f"{shared_dir(spark)}/chunkvault")
