@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import small_batches, store
+from chunkvault.llm.common import portions, store
 from chunkvault.llm.vectors import blocked, grid, nearest, whole_vectors
 
 #: At most so many vectors of a length are learnt from: those whose vec_id hashes lowest.
@@ -89,7 +89,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int =
     dealt = blocked(asked, QUERIES, lambda ids, v: {"q_ids": ids.tobytes(), "q": unit(v).tobytes()}, "q_ids binary, q binary")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             for cell in batch.to_pylist():
                 ids, q_ids, norms = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["q_ids"], np.int64), np.frombuffer(cell["norms"], np.float32)
                 codes = np.frombuffer(cell["codes"], np.uint8).reshape(-1, len(ids))
@@ -108,7 +108,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int =
                     scores.append(estimate[near])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who).astype(np.int64)), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores).astype(np.float64))], ["query_id", "vec_id", "score"])
 
-    small_batches(vectors.sparkSession, 4)
     listed = nearest(grid(store(dealt, "aq-queries"), index).mapInArrow(cells, "query_id long, vec_id long, score double"), shortlist)
     return nearest(rescored(listed, rows, asked), k)
 

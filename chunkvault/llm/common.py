@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import gc
-import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.storage import forget, fresh_path, shared_dir, store  # noqa: F401  (operators take them from here)
+from chunkvault.storage import discard, store, tidy  # noqa: F401  (operators take them from here)
 
 #: Words are maximal runs of anything but these six characters (fixed values).
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
-#: Batches handed to Python are bounded by rows and by bytes, as single texts may be very long.
+#: What Python works on at a time is bounded by rows and by bytes, as single texts may be very long.
 BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
 
 
@@ -31,30 +32,23 @@ def restored(out: DataFrame, docs: DataFrame, added: Iterable[str] = ()) -> Data
     return out.select(*[F.col(inner).alias(c) for inner, c in kept], *added)
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """store(), packed tighter, after which the shuffle files that led to it are let go, as they would add up to several times the input: Spark
-    removes them once the driver's garbage is collected."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    for _ in range(2):  # what has just run is let go only after its last events are told
-        time.sleep(1)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes tables of settled() that nothing will read again."""
-    for df in tables:
-        if files := df.inputFiles():
-            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def portions(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has at most `rows` rows and about `size` bytes of texts, at least one row. What Spark hands to Python is bounded by
+    its own settings, which stay as the session has them."""
+    for batch in batches:
+        if batch.num_rows <= max(rows, 1) and batch.nbytes <= size:
+            yield batch
+            continue
+        wide = np.full(batch.num_rows, 8 * batch.num_columns, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                wide += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(wide), 0
+        while at < batch.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            upto = max(at + 1, min(at + rows, most))
+            yield batch.take(pa.array(np.arange(at, upto)))  # a copy: slices would keep the offsets into the whole batch
+            at = upto
 
 
 def word_count(text: Column) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import restored, sheltered, small_batches, store
+from chunkvault.llm.common import portions, restored, sheltered, store
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 SLOTS, KICKS = 4, 500
@@ -121,7 +121,7 @@ def postings(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """Distinct (doc_id, h1, h2) of the lines that take part, by row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             ids, counts, keys = batch.column(0).to_numpy(zero_copy_only=False), [], []
             for text in batch.column(1):
                 own = set(line_keys(text.as_buffer().to_pybytes(), min_chars) if text.is_valid else ())
@@ -131,7 +131,6 @@ def postings(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             found = np.frombuffer(b"".join(keys), _KEY)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(found["h1"]), pa.array(found["h2"])], ["doc_id", "h1", "h2"])
 
-    small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return known.mapInArrow(rows, "doc_id long, h1 long, h2 long")
 
@@ -225,7 +224,7 @@ def kept_lines(docs: DataFrame, drops: DataFrame, min_chars: int = 10, with_text
     kept = [c for c in inner.columns if c != "text"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts, n_lines, n_dropped, digests = [], [], [], []
             for text, lost in zip(batch.column("_text"), batch.column("_drops"), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -248,7 +247,6 @@ def kept_lines(docs: DataFrame, drops: DataFrame, min_chars: int = 10, with_text
                 new, names = [pa.array(texts, pa.binary()), *new], ["_text", *names]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *names])
 
-    small_batches(docs.sparkSession)
     joined = inner.join(drops.withColumnsRenamed({"doc_id": "_key", "drops": "_drops"}), F.col("doc_id").cast("long") == F.col("_key"), "left")
     joined = joined.select(*kept, F.col("text").cast("binary").alias("_text"), "_drops")
     schema = ", ".join([*(f"`{c}` {t}" for c, t in inner.dtypes if c != "text"), *(["_text binary"] if with_text else []), "n_lines long, n_dropped long, kept_sha256 string"])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import small_batches, store
+from chunkvault.llm.common import portions, store
 
 #: Sketch sizes, the larger one for the pairs of open lists, and the probabilities that a link falls short of shared_least().
 K, MISS = 32, 1e-7
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, k: int = K, width: int = 5) -> DataFrame:
     """Rows (doc_id, n, f1, f2, sketch): set size, 128-bit hash of the set, and the k smallest values."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             sets = shingle_sets(batch.column(1), width)
             prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             few = [(s[:k] >> np.uint64(1)).view(np.int64) for s in sets]  # 63 bits, so that Spark orders them alike
@@ -97,7 +97,6 @@ def sketches(docs: DataFrame, k: int = K, width: int = 5) -> DataFrame:
                 [batch.column(0), sizes, pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "n", "f1", "f2", "sketch"]
             )
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, f1 long, f2 long, sketch array<long>")
 
 
@@ -121,12 +120,11 @@ def private_counts(texts: DataFrame, width: int = 5) -> DataFrame:
     """Rows (doc, p): how many shingles of a document of texts (doc_id, text) no other of them has."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             sets = shingle_sets(batch.column(1), width)
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["doc", "value"])
 
-    small_batches(texts.sparkSession)
     held = texts.select("doc_id", "text").mapInArrow(rows, "doc long, value long").groupBy("value").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("df"))
     return held.where("df = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("p"))
 
@@ -136,7 +134,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int = 5)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, np.ndarray] = OrderedDict()
-        for batch in batches:
+        for batch in portions(batches):
             own, links = shingle_sets(batch.column("tb"), width), []
             for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
                 if a not in seen:
@@ -148,7 +146,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int = 5)
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["a", "b"])
 
-    small_batches(texts.sparkSession)
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chunkvault.llm.common import small_batches, store
+from chunkvault.llm.common import portions, store
 
 CAPACITY, END = 1024, 2
 #: Spaces and line ends at which a cut could change the ids: next to other white space, or at either end of the text; and the mark used below.
@@ -228,7 +228,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in portions(batches, size=3 << 20):  # fewer, larger batches repeat fewer words
             ids, bounds = Tokens.of(tokenizer).batch(batch.column(1))
             which, piece, start, length, crc, nth, values = [], [], [], [], [], [], []
             for i in range(batch.num_rows):
@@ -252,7 +252,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
                 columns, names = [*columns, pa.array(values, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    small_batches(docs.sparkSession, size=3 << 20)  # fewer, larger batches repeat fewer words
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
@@ -270,7 +269,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     keys = plan[:, 0] << 44 | plan[:, 1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             size, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             row = plan[np.searchsorted(keys, size << 44 | rank, "right") - 1] if len(size) else plan[:0]
             nth = rank - row[:, 1]

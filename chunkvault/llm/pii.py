@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import restored, sheltered, small_batches, store
+from chunkvault.llm.common import portions, restored, sheltered, store
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base rules. The e-mail rule is applied from each @, so that long runs cost no more than their length.
@@ -125,7 +125,7 @@ def mentions(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in portions(batches):
             base, entities, texts = [], [], []
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text or "")
@@ -137,7 +137,6 @@ def mentions(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "base", "entities", "text"])
             nth += n
 
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(rows, f"row long, doc_id {kind}, base array<struct<kind:int,start:int,end:int>>, entities array<long>, text string")
 
@@ -146,7 +145,7 @@ def held_terms(found: DataFrame) -> DataFrame:
     """Rows (row, term): the distinct terms of each document with entities."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             known, hashes, codes, doc = _coded(batch.column(1))
             terms = np.fromiter(map(_is_term, known), bool, len(known))
             own = terms[codes] if len(codes) else np.zeros(0, bool)
@@ -154,7 +153,6 @@ def held_terms(found: DataFrame) -> DataFrame:
             at = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(at[pairs // many]), pa.array(hashes[pairs % many])], ["row", "term"])
 
-    small_batches(found.sparkSession)
     return found.where("text is not null").select("row", F.col("text").cast("binary").alias("text")).mapInArrow(rows, "row long, term long")
 
 
@@ -169,7 +167,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             _, hashes, codes, doc = _coded(batch.column(0))
             at = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
             hit = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
@@ -182,7 +180,6 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 terms, counts = terms[:0], counts[:0]
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], ["term", "many"])
 
-    small_batches(docs.sparkSession)
     counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(rows, "term long, many long")
     return counts.groupBy("term").agg(F.sum("many").alias("n_t"))
 
@@ -208,12 +205,11 @@ def marked_terms(found: DataFrame, hits: DataFrame) -> DataFrame:
     """Rows (row, terms): where the terms of hits (row, term, sure) stand in their documents, outside base spans."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             lists = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             out = [_marked(text, [(x["start"], x["end"]) for x in base], {h["term"]: h["sure"] for h in own}) for text, base, own in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(_MARK))], ["row", "terms"])
 
-    small_batches(found.sparkSession)
     per_row = hits.groupBy("row").agg(F.collect_list(F.struct("term", "sure")).alias("own"))
     return found.join(per_row, "row").select("row", "text", "base", "own").mapInArrow(rows, "row long, terms array<struct<start:int,end:int,sure:boolean>>")
 

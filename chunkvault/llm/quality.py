@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import small_batches, store
+from chunkvault.llm.common import portions, store
 from chunkvault.llm.near_dup import word_hashes
 
 #: At most so many labelled rows are learnt from: those whose doc_id hashes lowest.
@@ -73,12 +73,11 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, stats array<float>)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             stats = statistics(batch.column(1)).astype(np.float32)
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(stats.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "stats"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, stats array<float>")
 
 
@@ -162,10 +161,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
     trees = fit(stats, labels, sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS)).astype(float)
             found = trees.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    small_batches(docs.sparkSession, 4096)
     return stats.mapInArrow(rows, "doc_id long, score double, predicted int").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import small_batches, store
+from chunkvault.llm.common import portions, store
 from chunkvault.llm.vectors import blocked, grid, nearest, whole_vectors
 
 BLOCK, QUERIES, DEPTH = 8192, 256, 16
@@ -76,7 +76,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
     asked = store(blocked(whole_vectors(queries), QUERIES, lambda ids, v: {"q_ids": ids.tobytes(), "q": v.tobytes()}, "q_ids binary, q binary"), "top-queries")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             for cell in batch.to_pylist():
                 dim = cell["dim"]
                 ids, q_ids = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["q_ids"], np.int64)
@@ -90,7 +90,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
                 found = np.concatenate([p for _, p, _ in out]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids[found]), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
-    small_batches(vectors.sparkSession, 4)
     return nearest(grid(asked, rows).mapInArrow(cells, "query_id long, vec_id long, score long"), k)
 
 
