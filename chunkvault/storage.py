@@ -7,7 +7,7 @@ import contextvars
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +66,18 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_each(frames: Iterable[DataFrame], like: DataFrame, tag: str) -> DataFrame:
+    """Writes frames of like's schema one after the other to one table, and reads it back."""
+    spark, path = like.sparkSession, fresh_path(like.sparkSession, tag)
+    with setting(spark, CLEANUP, "true"):
+        like.limit(0).write.parquet(path)
+        for df in frames:
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    return spark.read.schema(like.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _file_system(spark, path)
     fs.delete(p, True)
