@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by cosine: additive quantisation with exact reranking.
 
-Unit vectors are sums of one full-dimensional codeword from each of several codebooks. Codebooks are learnt on a sample of a
-documented bound, each on what the ones before leave over; every row is encoded by beam search, with the norm of
-its reconstruction stored. A query's lookup tables hold its inner products with all codewords, so the estimate for a row is a
+Unit vectors are sums of one full-dimensional codeword from each of several codebooks. Codebooks are learnt for each length of vectors, on a
+sample of a documented bound, each on what the ones before leave over; every row is encoded by beam search, with the norm of
+its reconstruction stored. Lengths are worked on in groups whose codebooks have at most BOOK_BYTES, one group after the other,
+however many lengths there are. A query's lookup tables hold its inner products with all codewords, so the estimate for a row is a
 sum of table entries over that norm. The best `shortlist` of all rows are scored again on the original vectors.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
-vec_id; only vectors of equal length meet (codebooks are learnt for each length); repeated vec_ids are rows of their own,
+vec_id; only vectors of equal length meet; repeated vec_ids are rows of their own,
 except that a query never finds its own vec_id; fewer than k rows give them all; empty tables give empty results;
 columns besides vec_id and embedding are not read.
 """
@@ -16,17 +17,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from chunkvault.llm.common import portions, store
-from chunkvault.llm.vectors import blocked, grid, nearest, whole_vectors
+from chunkvault.llm.common import discard, portions, store, store_each, tidy
+from chunkvault.llm.vectors import Best, blocked, nearest, rounds, whole_vectors
 
 #: At most so many vectors of a length are learnt from: those whose vec_id hashes lowest.
 SAMPLE = 8192
 BOOKS, WORDS, BEAM, ROUNDS, SHORTLIST = 40, 64, 4, 8, 80
-BLOCK, QUERIES = 8192, 256
+BLOCK, QUERIES = 4096, 256
+#: Bytes of the codebooks that tasks are given at a time.
+BOOK_BYTES = 64 << 20
 
 
 def learn(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 5) -> np.ndarray:
@@ -65,51 +70,87 @@ def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = BEAM, chunk: int =
     return codes, np.maximum(norms, 1e-9)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
-    """For each row of queries (vec_id, embedding) the k nearest rows found: query_id, rank, vec_id, score."""
-    nonzero = F.exists("v", lambda x: x != 0)
-    rows = store(whole_vectors(vectors).where(nonzero), "aq-rows")
-    asked = whole_vectors(queries).where(nonzero)
-    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
-    books = {}
-    for dim in [r["dim"] for r in rows.select("dim").distinct().limit(64).collect()]:
-        seen = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").toPandas()
-        books[dim] = learn(unit(np.stack(seen["v"].to_list())))
-    first = next(iter(books.values()), None)
-
-    def of(dim: int) -> np.ndarray:
-        """The codebooks of a length; past 64 lengths, the first's first components."""
-        return books[dim] if dim in books else np.resize(first, (*first.shape[:2], dim))
-
-    def coded(ids: np.ndarray, v: np.ndarray) -> dict[str, bytes]:
-        codes, norms = encode(unit(v), of(v.shape[1]))
-        return {"ids": ids.tobytes(), "codes": codes.T.tobytes(), "norms": norms.tobytes()}
-
-    index = store(blocked(rows, BLOCK, coded, "ids binary, codes binary, norms binary"), "aq-index")
-    dealt = blocked(asked, QUERIES, lambda ids, v: {"q_ids": ids.tobytes(), "q": unit(v).tobytes()}, "q_ids binary, q binary")
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def codebooks(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Rows (dim, books): the codebooks of each length, learnt on its at most `sample` vectors whose ids hash lowest."""
+    counts = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    mark = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    # Few more than `sample` rows of a length come so far; the window has no more to sort.
+    likely = rows.join(counts, "dim").withColumn("mark", mark).where(F.col("mark") * F.col("n") <= F.lit(float(1 << 40)) * (sample + 8 * sample**0.5 + 64))
+    chosen = likely.withColumn("nth", F.row_number().over(W.partitionBy("dim").orderBy("mark", "vec_id", "v"))).where(F.col("nth") <= sample)
+
+    def learnt(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(own.sort_values("nth")["v"].to_list())
+        return pd.DataFrame({"dim": [int(key[0])], "books": [learn(_unit(vectors)).tobytes()]})
+
+    return chosen.select("dim", "nth", "v").groupBy("dim").applyInPandas(learnt, "dim int, books binary")
+
+
+def _groups(books: DataFrame) -> Iterator[dict[int, np.ndarray]]:
+    """Codebooks by length, in groups of at most BOOK_BYTES, at least one length each."""
+    sizes = sorted((r["dim"], r["size"]) for r in books.select("dim", F.octet_length("books").alias("size")).collect())
+    group, held = [], 0
+    for dim, size in [*sizes, (None, 0)]:
+        if group and (dim is None or held + size > BOOK_BYTES):
+            found = books.where(F.col("dim").isin(group)).collect()
+            yield {r["dim"]: np.frombuffer(r["books"], np.float32).reshape(BOOKS, WORDS, r["dim"]) for r in found}
+            group, held = [], 0
+        group, held = [*group, dim], held + size
+
+
+def _listed(index: DataFrame, books: dict[int, np.ndarray], asked: dict[int, tuple[np.ndarray, np.ndarray]], shortlist: int) -> DataFrame:
+    """For each query the best estimates of each task: rows (query_id, vec_id, score)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(shortlist)
         for batch in portions(batches, 1):
-            for cell in batch.to_pylist():
-                ids, q_ids, norms = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["q_ids"], np.int64), np.frombuffer(cell["norms"], np.float32)
-                codes = np.frombuffer(cell["codes"], np.uint8).reshape(-1, len(ids))
-                tables = np.einsum("qd,bwd->qbw", np.frombuffer(cell["q"]).reshape(-1, cell["dim"]).astype(np.float32), of(cell["dim"]), optimize=True)
-                who, found, scores = [], [], []
-                for i, table in zip(q_ids, tables, strict=True):
+            (block,) = batch.to_pylist() or [None]
+            if block is None or block["dim"] not in asked:
+                continue
+            q_ids, q = asked[block["dim"]]
+            ids, norms = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["norms"], np.float32)
+            codes = np.frombuffer(block["codes"], np.uint8).reshape(-1, len(ids))
+            for at in range(0, len(q_ids), QUERIES):
+                tables = np.einsum("qd,bwd->qbw", _unit(q[at : at + QUERIES]).astype(np.float32), books[block["dim"]], optimize=True)
+                for nth, (i, table) in enumerate(zip(q_ids[at : at + QUERIES], tables, strict=True), at):
                     estimate = sum(t[c] for t, c in zip(table, codes, strict=True)) / norms
                     estimate[ids == i] = -np.inf
                     n = min(shortlist, len(ids))
-                    least = np.partition(estimate, len(ids) - n)[len(ids) - n]
-                    near = np.flatnonzero(estimate >= least)
+                    near = np.flatnonzero(estimate >= np.partition(estimate, len(ids) - n)[len(ids) - n])
                     near = near[np.lexsort((ids[near], -estimate[near]))][:n]
                     near = near[np.isfinite(estimate[near])]
-                    who.append(np.full(len(near), i))
-                    found.append(ids[near])
-                    scores.append(estimate[near])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who).astype(np.int64)), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores).astype(np.float64))], ["query_id", "vec_id", "score"])
+                    best.add((block["dim"], nth, int(i)), estimate[near].astype(np.float64), ids[near])
+        for (_, _, i), (scores, ids) in best.held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), i)), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    return index.mapInArrow(rows, "query_id long, vec_id long, score double")
+
+
+@tidy
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
+    """For each row of queries (vec_id, embedding) the k nearest rows found: query_id, rank, vec_id, score."""
+    nonzero = F.exists("v", lambda x: x != 0)
+    rows = store(whole_vectors(vectors).where(nonzero), "aq-rows")
+    asked = store(whole_vectors(queries).where(nonzero), "aq-queries")
+
+    def lists() -> Iterator[DataFrame]:
+        for books in _groups(store(codebooks(rows, sample), "aq-books")):
+
+            def coded(ids: np.ndarray, v: np.ndarray, books=books) -> dict[str, bytes]:
+                codes, norms = encode(_unit(v), books[v.shape[1]])
+                return {"ids": ids.tobytes(), "codes": codes.T.tobytes(), "norms": norms.tobytes()}
+
+            of_group = F.col("dim").isin(list(books))
+            index = store(blocked(rows.where(of_group), BLOCK, coded, "ids binary, codes binary, norms binary"), "aq-index")
+            for some in rounds(asked.where(of_group)):
+                yield nearest(_listed(index, books, some, shortlist), shortlist)
+            discard(index)
 
-    listed = nearest(grid(store(dealt, "aq-queries"), index).mapInArrow(cells, "query_id long, vec_id long, score double"), shortlist)
-    return nearest(rescored(listed, rows, asked), k)
+    like = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return nearest(rescored(store_each(lists(), like, "aq-lists"), rows, asked), k)
 
 
 def rescored(listed: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:

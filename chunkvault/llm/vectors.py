@@ -1,8 +1,13 @@
-"""Blocks of vectors and of queries, and the grid on which each block of queries meets each block of rows."""
+"""Blocks of vectors, and rounds of queries that meet all of them.
+
+Every query has to meet every row of its length. Rows stay where they are, in blocks of a stored table; queries go to them in rounds of at
+most ROUND_BYTES, which is what a round's closure carries to the tasks. A task keeps the best of each query over all its
+blocks, so what is shuffled is k rows a query and task, and no block is ever copied.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Bytes of query vectors that one round carries.
+ROUND_BYTES = 8 << 20
+
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, v, dim) that take part: an id, and only finite components, at least one."""
@@ -19,26 +27,46 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def blocked(vectors: DataFrame, size: int, pack: Callable[[np.ndarray, np.ndarray], dict[str, bytes]], schema: str) -> DataFrame:
-    """Rows (dim, block, ..): vectors dealt by id into blocks of about size rows of one length, each packed into binary columns."""
-    counts = vectors.groupBy("dim").count()
-    dealt = vectors.join(counts, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("count") / size)).cast("int"))
+    """Rows (dim, block, ..): vectors dealt by id into blocks of at most about size rows of one length, each packed into binary columns."""
+    blocks = max(1, -(-vectors.count() // size))
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
         columns = pack(rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_list()).astype(np.float64))
         return pd.DataFrame({"dim": [int(key[0])], "block": [int(key[1])], **{k: [v] for k, v in columns.items()}})
 
-    return dealt.select("dim", "block", "vec_id", "v").groupBy("dim", "block").applyInPandas(packed, f"dim int, block int, {schema}")
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    # By number, since packing costs time and not bytes: adaptive execution would put all blocks into one task.
+    dealt = dealt.select("dim", "block", "vec_id", "v").repartition(min(2 * blocks, 20_000), "dim", "block")
+    return dealt.groupBy("dim", "block").applyInPandas(packed, f"dim int, block int, {schema}")
+
+
+def rounds(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Queries (vec_id, v, dim) in rounds: by length their ids and vectors, in order of id."""
+    size = queries.agg(F.sum(F.col("dim").cast("long") * 8)).first()[0] or 0
+    many = -(-size // ROUND_BYTES)
+    for i in range(many):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(many)) == i).toPandas().sort_values("vec_id", kind="stable")
+        if len(rows):
+            yield {int(dim): (own["vec_id"].to_numpy(np.int64), np.stack(own["v"].to_list()).astype(np.float64)) for dim, own in rows.groupby("dim")}
+
+
+class Best:
+    """The k best (score, id) of each query that a task has met, ties to the smaller id."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
 
+    def floor(self, key: tuple):
+        """The k-th score so far, None before there are k."""
+        own = self.held.get(key)
+        return own[0][-1] if own is not None and len(own[0]) == self.k else None
 
-def grid(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each pair of a block of queries and a block of rows of the same length, joined on the cell's own key, so that
-    every cell is a task's unit however few blocks either side has."""
-    q_blocks = queries.groupBy("dim").agg(F.max("block").alias("last"))
-    r_blocks = rows.groupBy("dim").agg(F.max("block").alias("last"))
-    left = queries.withColumnRenamed("block", "qb").join(r_blocks, "dim").withColumn("rb", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-    right = rows.withColumnRenamed("block", "rb").join(q_blocks, "dim").withColumn("qb", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-    return left.join(right, ["dim", "qb", "rb"])
+    def add(self, key: tuple, scores: np.ndarray, ids: np.ndarray) -> None:
+        if (own := self.held.get(key)) is not None:
+            scores, ids = np.concatenate([own[0], scores]), np.concatenate([own[1], ids])
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.held[key] = scores[order], ids[order]
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:
