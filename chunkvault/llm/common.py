@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.storage import discard, store, tidy  # noqa: F401  (operators take them from here)
+from chunkvault.storage import discard, store, store_each, tidy  # noqa: F401  (operators take them from here)
 
 #: Words are maximal runs of anything but these six characters (fixed values).
 SPACES = r"\x20\x09-\x0D"

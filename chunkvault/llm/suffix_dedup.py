@@ -38,9 +38,11 @@ WIDTH, GRAM = 100, 40
 #: Bytes that are hashed at a time: places within them fit 24 bits.
 PART_BYTES = (1 << 24) - 1
 #: Bits of the bitmap of repeated anchors; it comes to the driver in blocks of 2^16 bits.
-BITS = 26
+BITS = 28
+#: Anchors that a task gathers before it sends their places off.
+RUN_ANCHORS = 1 << 19
 #: Bytes that one shard sorts, about; different pieces of a group beyond which it is cut; and the strings of a window, level by level.
-SHARD_BYTES, HOT, WINDOWS = 4 << 20, 8192, (31, 6, 1)
+SHARD_BYTES, HOT, WINDOWS = 1 << 20, 4096, (31, 6, 1)
 #: A covered range is start << SHORT | length.
 SHORT = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -117,16 +119,25 @@ def _known(docs: DataFrame) -> DataFrame:
 
 def repeated_anchors(docs: DataFrame, width: int, gram: int, part_bytes: int = PART_BYTES) -> np.ndarray:
     """A bitmap, by the low bits of anchors, of those that occur more than once (and of some that don't: the sort finds nothing in them). Places go to
-    blocks as runs of 16-bit numbers, and each block is counted as they stream in, so a task holds counts of fixed size whatever the input."""
+    blocks as runs of 16-bit numbers, and each block is counted as they stream in, so a task holds the counts of 64 blocks, 4 MB, whatever the input."""
     low = np.uint64((1 << BITS) - 1)
 
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.sort(np.concatenate(held)).astype(np.int64)
+        block, first = np.unique(at >> 16, return_index=True)
+        raw, ends = (at & 0xFFFF).astype("<u2").tobytes(), np.append(first[1:], len(at))
+        return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array([raw[2 * a : 2 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], ["block", "places"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in portions(batches):
             for *_, anchor in document_contexts(batch.column(0), width, gram, part_bytes):
-                at = np.sort((anchor & low).astype(np.int64))
-                block, first = np.unique(at >> 16, return_index=True)
-                raw, ends = (at & 0xFFFF).astype("<u2").tobytes(), np.append(first[1:], len(at))
-                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array([raw[2 * a : 2 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], ["block", "places"])
+                held.append((anchor & low).astype(np.uint32))
+                if sum(map(len, held)) > RUN_ANCHORS:
+                    yield sent(held)
+                    held = []
+        if held:
+            yield sent(held)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
@@ -138,7 +149,7 @@ def repeated_anchors(docs: DataFrame, width: int, gram: int, part_bytes: int = P
         bits = {b: np.packbits(c == 2, bitorder="little").tobytes() for b, c in counts.items() if (c == 2).any()}
         yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array(list(bits.values()), pa.binary())], ["block", "bits"])
 
-    runs = _known(docs).select("text").mapInArrow(rows, "block int, places binary").repartition("block")
+    runs = _known(docs).select("text").mapInArrow(rows, "block int, places binary").repartition(1 << (BITS - 22), "block")
     found = store(runs.mapInArrow(counted, "block int, bits binary"), "suffix-anchors")
     out = np.zeros((1 << BITS) // 8, np.uint8)
     for r in found.collect():  # at most 2^(BITS - 16) blocks of 8 KB
