@@ -3,6 +3,7 @@
 import bisect
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -28,6 +29,67 @@ def secrets(text):
     return sorted(out)
 
 
+TOKEN, PAD = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}"), re.compile("=+$")
+
+
+def token_p(token, alphabets, ordinary, veto, lean):
+    """(encoding, length, p) of a token candidate, one character after the other."""
+    body = PAD.sub("", token)
+    n = len(body)
+    name = next((e for e, abc in alphabets.items() if set(body) <= set(abc)), None)
+    if re.fullmatch("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", body) or name is None:
+        return ("uuid" if name else None), n, 1.0
+    abc = alphabets[name]
+    k, (share, usual) = len(abc), ordinary[name]
+    kind = lambda c: "u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "o"
+    if len({kind(c) for c in abc}) == 1:
+        kind = lambda c: 2 * abc.index(c) >= k
+    many = collections.Counter(map(kind, abc))
+    rate = 1 - sum((v / k) ** 2 for v in many.values())
+    turns = sum(kind(a) != kind(b) for a, b in zip(body, body[1:], strict=False))
+    chi = k * sum(v * v for v in collections.Counter(body).values()) / n - n
+    far = k * share - 1
+    z_chi = (chi - (k - 1 + n * far)) / math.sqrt(2 * (k - 1 + 2 * n * far))
+    v = [float(abc.index(c)) for c in body]
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    serial = abs(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / spread) if spread > 1e-9 else 1.0
+    sigma = math.sqrt((n - 1) * rate * (1 - rate))
+    if max((chi - (k - 1)) / math.sqrt(2 * (k - 1)), abs(turns - rate * (n - 1)) / sigma, serial * math.sqrt(n)) > veto or normal(z_chi) > lean:
+        return name, n, 1.0
+    if usual is None:
+        return name, n, normal(z_chi)
+    z_runs = (turns - usual * (n - 1)) / math.sqrt((n - 1) * usual * (1 - usual))
+    return name, n, normal((z_chi - z_runs) / math.sqrt(2))
+
+
+def normal(z):
+    if z < -3:
+        return math.exp(-z * z / 2) / (-z * 2.5066282746310002) * (1 - 1 / z**2 + 3 / z**4)
+    return 1 / (1 + math.exp(-max(min(z * 1.5976 + z**3 * 0.07056, 500.0), -500.0)))
+
+
+def random_spans(texts, alphabets, ordinary, veto, lean, rate=0.05, grid=100, decades=15):
+    """For each text its spans (start, end) that the step-up rule passes, by strata of encoding and half octave of length."""
+    strata, found = collections.defaultdict(list), []
+    for nth, t in enumerate(texts):
+        for m in TOKEN.finditer(t or ""):
+            name, n, p = token_p(m.group(), alphabets, ordinary, veto, lean)
+            cell = grid * decades + 1 - math.floor(-math.log10(max(p, 10.0**-decades)) * grid)
+            key = (name, min(math.floor(math.log2(n) * 2), 30))
+            strata[key].append(cell)
+            found.append((nth, m.start(), m.end(), key, cell))
+    cut = {}
+    for key, cells in strata.items():
+        cells.sort()
+        cut[key] = max((c for c in cells if 10.0 ** ((c - grid * decades - 1) / grid) <= bisect.bisect_right(cells, c) / len(cells) * rate), default=0)
+    out = [[] for _ in texts]
+    for nth, a, b, key, cell in found:
+        if cell <= cut[key]:
+            out[nth].append((a, b))
+    return out
+
+
 def luhn(digits):
     return sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for k, c in enumerate(digits[::-1])) % 10 == 0
 

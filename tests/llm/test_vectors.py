@@ -5,6 +5,7 @@ import collections
 import numpy as np
 
 from chunkvault.llm import additive, threshold
+from chunkvault.llm import vectors as vectors_module
 from tests.llm import brute
 
 
@@ -53,3 +54,50 @@ def test_additive_search(vectors):
     assert hits >= 0.9 * total
     assert 9003 not in {b for g in found.values() for _, b, _ in g}
     assert additive.search(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_additive_search_learns_every_length(spark, monkeypatch):
+    """Eighty lengths, worked on in several groups and rounds."""
+    monkeypatch.setattr(additive, "BOOK_BYTES", 4 << 20)
+    monkeypatch.setattr(vectors_module, "ROUND_BYTES", 100_000)
+    rng = np.random.default_rng(8)
+    rows = [(1000 * d + i, rng.normal(size=d).tolist(), d) for d in range(2, 82) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = collections.defaultdict(set)
+    for r in additive.search(table, threshold.queries_of(table, 20), shortlist=8).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = collections.Counter()
+    for i, v, d in rows:
+        if i % 20 == 0:
+            v, own = np.array(v), [(j, np.array(w)) for j, w, e in rows if e == d and j != i]
+            cos = sorted((-float(v @ w / np.sqrt(v @ v) / np.sqrt(w @ w)), j) for j, w in own)[:5]
+            hits[d] += len({j for _, j in cos} & found[i])
+    assert len(found) == 160 and min(hits.values()) >= 7 and sum(hits.values()) >= 0.9 * 800
+
+
+def test_recall_with_a_short_list(spark):
+    """Nearest five by exact cosine, where the shortlist is a small share of all rows."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids, v = (np.array(x) for x in zip(*[(r.vec_id, r.embedding) for r in table.collect()], strict=True))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = collections.defaultdict(set)
+    for r in additive.search(table, threshold.queries_of(table, 50), shortlist=20).collect():  # a hundredth of all rows
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        near = np.argsort(-np.where(np.arange(len(ids)) == q, -2, v @ v[q]), kind="stable")[:5]
+        hits += len(set(ids[near].tolist()) & found[int(ids[q])])
+    assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
+
+
+def test_threshold_algorithm_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(vectors_module, "ROUND_BYTES", 2000)
+    monkeypatch.setattr(threshold, "BLOCK", 37)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-3, 4, 6 if i % 4 else 3).astype(float).tolist()) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in threshold.top_k(table, threshold.queries_of(table, 5)).collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for i, v in rows[::5]:
+        assert [(b, c) for _, b, c in sorted(found[i])] == brute.top_products(rows, (i, v), 10)
