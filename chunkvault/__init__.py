@@ -1,3 +1,3 @@
 """chunkvault: content-addressed snapshots of byte-addressed data, on PySpark DataFrames."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -50,9 +50,15 @@ def xor_base(own: Column, base: Column) -> Column:
 
 
 def chain(files: DataFrame) -> DataFrame:
-    """Files of one chain (column chain) as successive versions, each beside the one before (prev_id, prev_content)."""
-    before = W.partitionBy("chain").orderBy("db_id")
-    return files.withColumn("prev_id", F.lag("db_id").over(before)).withColumn("prev_content", F.lag("content").over(before))
+    """Rows (chain, db_id, prev_id): files of one chain as successive versions, each beside the one before. Only ids pass through the window."""
+    return files.select("chain", "db_id").withColumn("prev_id", F.lag("db_id").over(W.partitionBy("chain").orderBy("db_id")))
+
+
+def beside_previous(files: DataFrame, value: Column, name: str) -> DataFrame:
+    """Rows (db_id, prev_id, name, prev_name): a value of each file beside that of the version before; contents stay where they are."""
+    own = files.select("db_id", value.alias(name))
+    before = own.select(F.col("db_id").alias("prev_id"), F.col(name).alias(f"prev_{name}"))
+    return chain(files).join(before, "prev_id", "left").join(own, "db_id").select("db_id", "prev_id", name, f"prev_{name}")
 
 
 def base_action(matches: Column, total: Column, draw: Column) -> Column:
@@ -84,11 +90,76 @@ def as_of(manifests: DataFrame, probes: DataFrame, key: str, at: str, seen: str)
 
 
 def scan_and_check(files: DataFrame, granularity: int = GRANULARITY) -> DataFrame:
-    """Snapshot, restore and compare: rows (db_id, n_chunks, len, contents_fp, restored_ok)."""
-    chunks = chunk_scan(files, granularity, with_data=True)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", F.hex("data").alias("h")))), lambda x: x["h"]), "")
-    restored = chunks.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("size").alias("len"), list_fingerprint(F.col("chunk_index"), F.col("fp")).alias("contents_fp"), F.sha2(F.unhex(whole), 256).alias("restored"))
-    source = files.select("db_id", F.sha2("content", 256).alias("source"), F.octet_length("content").cast("long").alias("want"))
-    out = source.join(restored, "db_id", "left")
-    same = (F.col("want") == F.coalesce("len", F.lit(0))) & ((F.col("source") == F.col("restored")) | (F.col("want") == 0))
+    """Snapshot, restore and compare: rows (db_id, n_chunks, len, contents_fp, restored_ok). Chunks are stored by fingerprint, fetched again for
+    each place, and compared by digest; no file is put together, so none has to fit one row, and no bytes are shuffled."""
+    chunks = chunk_scan(files, granularity, with_data=True).select("db_id", "chunk_index", "size", "fp", F.sha2("data", 256).alias("digest"))
+    stored = chunks.groupBy("fp").agg(F.min("digest").alias("stored"), F.min("size").alias("stored_size"))
+    fetched = chunks.join(stored, "fp", "left")
+    sound = F.every(F.coalesce((F.col("digest") == F.col("stored")) & (F.col("size") == F.col("stored_size")), F.lit(False)))
+    restored = fetched.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("stored_size").alias("len"), list_fingerprint(F.col("chunk_index"), F.col("fp")).alias("contents_fp"), sound.alias("sound"))
+    out = files.select("db_id", F.octet_length("content").cast("long").alias("want")).join(restored, "db_id", "left")
+    same = (F.col("want") == F.coalesce("len", F.lit(0))) & F.coalesce("sound", F.col("want") == 0)
     return out.select("db_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("len", F.lit(0)).alias("len"), F.coalesce("contents_fp", F.md5(F.lit("").cast("binary"))).alias("contents_fp"), same.alias("restored_ok"))
+
+
+#: A manifest as a row. words are the fingerprints' halves, folded with those of the base chunk if there is one; bundled chunks come with their bytes.
+MANIFEST = (
+    "db_id long, host string, path string, seq long, version string, ctime long, len long, header_fp string, contents_fp string, base_fp string, "
+    "words array<bigint>, bundled array<struct<chunk_index:bigint,chunk_offset:bigint,fp:string,data:binary>>"
+)
+#: Offsets of the chunks that manifests bundle (fixed value).
+BUNDLED_OFFSETS = (0,)
+
+
+def manifest_rows(files: DataFrame, granularity: int = GRANULARITY) -> DataFrame:
+    """Manifests of files (db_id, host, path, seq, version, ctime, content) without a base, by array functions within a row: no shuffle."""
+    from chunkvault.operators.chunks import slices
+
+    cut = files.withColumn("_s", slices(F.col("content"), granularity))
+    fps = F.transform("_s", lambda x: F.md5(x))
+    part = lambda i: F.struct(F.lit(i // granularity).cast("long").alias("chunk_index"), F.lit(i).cast("long").alias("chunk_offset"), F.md5(F.get("_s", F.lit(i // granularity))).alias("fp"), F.get("_s", F.lit(i // granularity)).alias("data"))
+    bundled = F.filter(F.array(*[part(i) for i in BUNDLED_OFFSETS]), lambda b: b["data"].isNotNull())
+    return cut.select(
+        "db_id", "host", "path", "seq", "version", "ctime", F.octet_length("content").cast("long").alias("len"), header_fingerprint(F.col("content")).alias("header_fp"),
+        F.md5(F.array_join(fps, "").cast("binary")).alias("contents_fp"), F.lit(None).cast("string").alias("base_fp"), words(F.col("content"), granularity).alias("words"), bundled.alias("bundled"),
+    )
+
+
+def fingerprints_of(own: Column) -> Column:
+    """Fingerprints from a flat list of words."""
+    half = lambda at: F.lower(F.lpad(F.hex(F.get(own, at)), 16, "0"))
+    return F.when(F.size(own) >= 2, F.transform(F.sequence(F.lit(0), F.floor(F.size(own) / 2).cast("int") - 1), lambda i: F.concat(half(2 * i), half(2 * i + 1)))).otherwise(F.array().cast("array<string>"))
+
+
+def words_of_bytes(data: Column) -> Column:
+    """Words from their bytes, least byte first."""
+    pairs = lambda x: F.array_join(F.reverse(F.regexp_extract_all(x, F.lit(".."), F.lit(0))), "")
+    return F.transform(F.regexp_extract_all(F.hex(data), F.lit("(?:..){8}"), F.lit(0)), lambda x: F.conv(pairs(x), 16, -10).cast("long"))
+
+
+def bytes_of_words(own: Column) -> Column:
+    pairs = lambda w: F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(w), 16, "0"), F.lit(".."), F.lit(0))), "")
+    return F.unhex(F.array_join(F.transform(own, pairs), ""))
+
+
+def rebased(manifests: DataFrame, bases: DataFrame) -> DataFrame:
+    """Manifests folded with the base chunks (base_fp, data) of their base_fp, which must be set; folding twice undoes it."""
+    both = manifests.join(bases.select("base_fp", F.col("data").alias("_base")), "base_fp", "left")
+    return both.withColumn("words", xor_base(F.col("words"), words_of_bytes(F.col("_base")))).select(*manifests.columns)
+
+
+def decode_and_validate(manifests: DataFrame, chunks: DataFrame, need_header: bool = True) -> DataFrame:
+    """Manifests with fps, the true list, and error, null for a sound one: the base chunk is fetched from chunks (fp, data) and folded out,
+    and the list must have the fingerprint that the manifest says."""
+    both = manifests.join(chunks.select(F.col("fp").alias("base_fp"), F.col("data").alias("_base")), "base_fp", "left")
+    base = F.when(F.col("base_fp").isNotNull(), words_of_bytes(F.col("_base")))
+    true = both.withColumn("words", xor_base(F.coalesce("words", F.array().cast("array<bigint>")), base)).withColumn("fps", fingerprints_of(F.col("words")))
+    error = F.when(F.col("contents_fp").isNull(), "missing contents_fp").when(F.lit(need_header) & F.col("header_fp").isNull(), "missing header_fp")
+    error = error.when(F.col("base_fp").isNotNull() & F.col("_base").isNull(), "base chunk not found").when(F.octet_length("_base") % 16 != 0, "base chunk has invalid size")
+    error = error.when((F.size("words") % 2 != 0) | (F.md5(F.array_join("fps", "").cast("binary")) != F.col("contents_fp")), "invalid chunk list")
+    return true.withColumn("error", error).select(*manifests.columns, "fps", "error")
+
+
+def listed(manifests: DataFrame) -> DataFrame:
+    """Chunk places (db_id, seq, chunk_index, fp) of decoded manifests."""
+    return manifests.select("db_id", "seq", F.posexplode("fps").alias("i", "fp")).select("db_id", "seq", F.col("i").cast("long").alias("chunk_index"), "fp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,12 +18,13 @@ def intervals(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("end", F.sum("size").over(upto)).withColumn("begin", F.col("end") - F.col("size"))
 
 
-def range_read(chunks: DataFrame, probes: DataFrame, granularity: int) -> DataFrame:
-    """Bytes [offset, offset + length) of each probe (probe_id, db_id, offset, length) as hex, cut at the end of the file.
+def range_read(chunks: DataFrame, probes: DataFrame, granularity: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Bytes [offset, offset + length) of each probe (probe_id, db_id, offset, length) as hex, cut at the end of the file; sizes (db_id, len) are
+    summed from the chunks unless given.
 
     Fixed slices make the overlap an equi-join: a probe is exploded to the chunk indices it touches, within the file.
     """
-    sizes = chunks.groupBy("db_id").agg(F.sum("size").alias("len"))
+    sizes = chunks.groupBy("db_id").agg(F.sum("size").alias("len")) if sizes is None else sizes
     known = probes.join(sizes, "db_id", "left").withColumn("len", F.coalesce("len", F.lit(0)))
     known = known.withColumn("lo", F.least(F.greatest("offset", F.lit(0)), "len")).withColumn("hi", F.least(F.when(F.col("length") > F.col("len") - F.col("lo"), F.col("len")).otherwise(F.col("lo") + F.col("length")), F.col("len")))
     touched = known.withColumn("chunk_index", F.explode_outer(F.when(F.col("hi") > F.col("lo"), F.sequence(F.expr(f"lo div {granularity}"), F.expr(f"(hi - 1) div {granularity}")))))
@@ -53,3 +56,26 @@ def fetch(wanted: DataFrame, tiers: list[DataFrame]) -> DataFrame:
         held = held.unionByName(tier.select("fp", F.lit(i).alias("tier")))
     first = held.groupBy("fp").agg(F.min("tier").alias("tier"))
     return wanted.select("fp").distinct().join(first, "fp", "left")
+
+
+def page_read(content: Column, offset: Column, size: int) -> Column:
+    """A page of a file: size bytes from offset, filled up with zeros behind its end."""
+    n = F.octet_length(content)
+    got = F.when(offset < n, F.substring(content, (offset + 1).cast("int"), F.lit(size))).otherwise(F.lit(b""))
+    return F.unhex(F.rpad(F.hex(got), 2 * size, "0"))
+
+
+def tiered_manifests(wanted: DataFrame, local: list[DataFrame], remote: list[DataFrame], now: Column, max_age_h: int = 48) -> DataFrame:
+    """Names with the tier that gives their manifest: the first local tap (name, at) that is no older than max_age_h and not from the future,
+    then the first remote (name) that has it; null where none has."""
+    young = (F.unix_micros(now) - F.unix_micros("at")).between(0, max_age_h * 3_600_000_000)
+    held = [t.where(young).select("name", F.lit(i).alias("tier")) for i, t in enumerate(local)]
+    held += [t.select("name", F.lit(i).alias("tier")) for i, t in enumerate(remote, len(local))]
+    first = functools.reduce(DataFrame.unionByName, held).groupBy("name").agg(F.min("tier").alias("tier"))
+    return wanted.select("name").distinct().join(first, "name", "left")
+
+
+def cache_publish(chunks: DataFrame, primary: DataFrame, secondary: DataFrame) -> DataFrame:
+    """What publishing fingerprints to a cache does: a hit in the primary is accepted, one in a secondary is promoted, others are added."""
+    hits = chunks.select("fp").distinct().join(primary.select("fp", F.lit(True).alias("_p")).distinct(), "fp", "left").join(secondary.select("fp", F.lit(True).alias("_s")).distinct(), "fp", "left")
+    return hits.select("fp", F.when(F.col("_p"), "accept").when(F.col("_s"), "promote").otherwise("add").alias("action"))

@@ -49,3 +49,25 @@ def incremental(old: DataFrame, scanned: DataFrame, sizes: DataFrame, dirty: Dat
     again = scanned.join(sizes, "db_id").join(dirty.select(*key, F.lit(True).alias("d")).distinct(), key, "left")
     again = again.where("(chunk_index >= backfill or d) and chunk_index < n").select(*key, "fp")
     return carried.unionByName(again)
+
+
+def aligned_writes(log: DataFrame, granularity: int) -> DataFrame:
+    """Writes of exactly one whole chunk, but for the first, whose bytes are staged at once as they are at hand."""
+    return log.where((F.col("count") == granularity) & (F.col("offset") % granularity == 0) & (F.col("offset") > 0))
+
+
+def first_writes(log: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first write of each transaction, which gives the file a new version id."""
+    return log.groupBy(*key).agg(F.min(order).alias(order))
+
+
+def sizes_after(log: DataFrame, key: str) -> DataFrame:
+    """Sizes of files after all writes of a log, from nothing: the furthest byte written."""
+    return log.where(F.col("count") > 0).groupBy(key).agg(F.max(F.col("offset") + F.col("count")).alias("size"))
+
+
+def rescan_from(listed: DataFrame, scrubbed: DataFrame, key: str) -> DataFrame:
+    """Per key: mismatch, whether a scrubbed chunk (chunk_index, fp) isn't as listed, and backfill, where the next scan begins: 0 then, else behind the list."""
+    checked = listed.join(scrubbed.select(key, "chunk_index", F.col("fp").alias("_found")), [key, "chunk_index"], "left")
+    bad = F.coalesce(F.bool_or((F.col("_found") != F.col("fp"))), F.lit(False))
+    return checked.groupBy(key).agg(bad.alias("mismatch"), F.when(bad, 0).otherwise(F.count(F.lit(1))).alias("backfill"))

@@ -58,7 +58,7 @@ def with_(body: str, *ctes: str, recursive: bool = False) -> str:
 
 
 def queries() -> dict[str, Callable]:
-    from chunkvault.plans import lifecycle, relational, states, upkeep  # noqa: F401  (they register themselves)
+    from chunkvault.plans import lifecycle, relational, replication, rules, states, upkeep  # noqa: F401  (they register themselves)
 
     return dict(_QUERIES)
 

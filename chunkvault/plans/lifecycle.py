@@ -10,6 +10,7 @@ from chunkvault.operators import manifests as M
 from chunkvault.operators import snapshots as S
 from chunkvault.operators import tracking as T
 from chunkvault.plans.catalog import CHAIN, CHUNKS, FILES, LOG, SIGNED, G, files, query, table, with_, write_log
+from chunkvault.storage import store
 
 
 def _chunks(spark, sf, with_data=False):
@@ -54,14 +55,19 @@ def dedup_ratio(spark, sf):
     return per_chunk.groupBy("host").agg(F.sum("total").alias("total_bytes"), F.sum("one").alias("unique_bytes"), F.count(F.lit(1)).alias("unique_chunks"))
 
 
-PADDED = f"padded as (select db_id, i as chunk_index, case when i = 1 then md5(unhex(repeat('00', {G}))) else fp end as fp from (select db_id, 0 as i, fp from chunks where chunk_index = 0 union all select db_id, 1, fp from chunks where chunk_index = 0))"
 
 
-@query(with_(f"select db_id, chunk_index::bigint as chunk_index, fp from padded where fp <> md5(unhex(repeat('00', {G})))", FILES, CHUNKS, PADDED))
+ZEROED = f"zeroed as (select db_id, i as chunk_index, fp from (select db_id, chunk_index as i, fp from chunks union all select db_id, n + 1, md5(unhex(repeat('00', {G}))) from (select db_id, max(chunk_index) as n from chunks where db_id % 3 = 0 group by db_id)))"
+
+
+@query(with_(f"select db_id, chunk_index, fp from zeroed where fp <> md5(unhex(repeat('00', {G})))", FILES, CHUNKS, ZEROED))
 def well_known_filter(spark, sf):
-    first = _chunks(spark, sf).where("chunk_index = 0").select("db_id", "chunk_index", "fp")
-    zeros = first.select("db_id", F.lit(1).cast("long").alias("chunk_index"), C.zero_fingerprint(G).alias("fp"))
-    return first.unionByName(zeros).where(F.col("fp") != C.zero_fingerprint(G))
+    """All chunks but zero ones, of files of which every third has blocks of zeros at its end."""
+    size = F.octet_length("content")
+    padded = F.when((F.col("db_id") % 3 == 0) & (size > 0), F.concat("content", F.expr(f"unhex(repeat('00', cast(pmod(-octet_length(content), {G}) + {G} as int)))"))).otherwise(F.col("content"))
+    scanned = C.chunk_scan(files(spark, sf).withColumn("content", padded), G).where(F.col("fp") != C.zero_fingerprint(G))
+    # The last chunk of real bytes is filled up too; its own fingerprint is told.
+    return scanned.join(_chunks(spark, sf).select("db_id", "chunk_index", F.col("fp").alias("own")), ["db_id", "chunk_index"]).select("db_id", "chunk_index", F.col("own").alias("fp"))
 
 
 MANIFESTS = "manifests as (select f.db_id, octet_length(any_value(f.content))::bigint as len, count(c.fp)::bigint as n_chunks, case when octet_length(any_value(f.content)) >= 100 then md5(unhex(substr(hex(any_value(f.content)), 1, 200))) end as header_fp, md5(coalesce(string_agg(c.fp, '' order by c.chunk_index), '')) as contents_fp from files f left join chunks c on f.db_id = c.db_id group by f.db_id)"
@@ -151,19 +157,19 @@ def dirty_set_per_txn(spark, sf):
 SIZES = "sizes as (select db_id, coalesce(octet_length(prev_content), 0)::bigint as old_len, octet_length(content)::bigint as new_len, prev_id, content, prev_content from chain_files)"
 
 
+
 @query(with_(f"select db_id, i as chunk_index from sizes, unnest(range(least(old_len, new_len) // {G}, case when old_len = new_len then least(old_len, new_len) // {G} else (greatest(old_len, new_len) - 1) // {G} + 1 end)) as t(i)", FILES, CHAIN, SIZES))
 def truncate_dirty(spark, sf):
-    chained = M.chain(files(spark, sf))
-    old, new = F.coalesce(F.octet_length("prev_content"), F.lit(0)), F.octet_length("content")
-    return chained.select("db_id", F.explode(T.truncated(old.cast("long"), new.cast("long"), G)).alias("chunk_index"))
+    sizes = M.beside_previous(files(spark, sf), F.octet_length("content").cast("long"), "len")
+    return sizes.select("db_id", F.explode(T.truncated(F.coalesce("prev_len", F.lit(0).cast("long")), F.col("len"), G)).alias("chunk_index"))
 
 
 OLD_NEW = "old_new as (select n.db_id, o.chunk_index, o.fp from chain_files n join chunks o on n.prev_id = o.db_id)"
 DIFF = "diff as (select coalesce(n.db_id, o.db_id) as db_id, coalesce(n.chunk_index, o.chunk_index) as chunk_index, case when o.fp is null then 'added' when n.fp is null then 'removed' when n.fp = o.fp then 'same' else 'changed' end as change from chunks n full outer join old_new o on n.db_id = o.db_id and n.chunk_index = o.chunk_index)"
 
 
-def _old_new(spark, sf):
-    scanned = _chunks(spark, sf).select("db_id", "chunk_index", "fp")
+def _old_new(spark, sf, scanned=None):
+    scanned = _chunks(spark, sf).select("db_id", "chunk_index", "fp") if scanned is None else scanned
     ids = M.chain(files(spark, sf)).select("db_id", "prev_id")
     return ids.join(scanned.withColumnRenamed("db_id", "prev_id"), "prev_id").select("db_id", "chunk_index", "fp"), scanned
 
@@ -178,16 +184,17 @@ COUNTS = f"counts as (select db_id, (octet_length(content) + {G - 1}) // {G} as
 BACKFILL = "case when p is null then 0 else greatest(least(p, n) - case when p < n then 1 else 0 end, 0) end"
 
 
+
 @query(with_(f"select db_id, n::bigint as n, p::bigint as p, ({BACKFILL})::bigint as backfill from counts", FILES, CHAIN, COUNTS))
 def backfill_start(spark, sf):
-    n, p = (C.chunk_count(F.octet_length(c), G) for c in ("content", "prev_content"))
-    return M.chain(files(spark, sf)).select("db_id", n.alias("n"), p.alias("p")).withColumn("backfill", T.backfill_start(F.col("p"), F.col("n"), F.lit(False)))
+    counts = M.beside_previous(files(spark, sf), C.chunk_count(F.octet_length("content"), G), "n")
+    return counts.select("db_id", "n", F.col("prev_n").alias("p"), T.backfill_start(F.col("prev_n"), F.col("n"), F.lit(False)).alias("backfill"))
 
 
 @query(with_("select db_id, count(*)::bigint as chunks, md5(string_agg(fp, '' order by chunk_index)) as contents_fp, true as equals_full from chunks group by db_id", FILES, CHUNKS))
 def incremental_equals_full(spark, sf):
-    """Snapshots from the previous version, its dirty chunks and the backfill; compared with a full scan."""
-    old, new = _old_new(spark, sf)
+    """Snapshots from the previous version, its dirty chunks and the backfill; compared with a full scan. Files are cut once, and their lists stored."""
+    old, new = _old_new(spark, sf, store(_chunks(spark, sf).select("db_id", "chunk_index", "fp"), "chunk-lists"))
     dirty = T.manifest_diff(old, new, ["db_id"]).where("change <> 'same'")
     sizes = backfill_start(spark, sf).select("db_id", "n", "backfill")
     made = T.incremental(old, new, sizes, dirty).groupBy("db_id").agg(F.count(F.lit(1)).alias("chunks"), C.list_fingerprint(F.col("chunk_index"), F.col("fp")).alias("contents_fp"))
@@ -211,9 +218,8 @@ XORED = "xored as (select f.db_id, o.own, b.own as base, list_transform(range(le
 
 
 def _xored(spark, sf):
-    chained = M.chain(files(spark, sf)).where(F.octet_length("content") > 0)
-    own, base = M.words(F.col("content"), G), F.when(F.col("prev_id").isNotNull(), M.words(F.col("prev_content"), G))
-    return chained.select("db_id", own.alias("own"), base.alias("base")).withColumn("coded", M.xor_base(F.col("own"), F.col("base")))
+    lists = M.beside_previous(files(spark, sf), M.words(F.col("content"), G), "own").where(F.size("own") > 0)
+    return lists.select("db_id", "own", F.col("prev_own").alias("base")).withColumn("coded", M.xor_base(F.col("own"), F.col("base")))
 
 
 @query(with_("select db_id, array_to_string(coded, ',') as coded from xored", FILES, CHUNKS, CHAIN, WORDS, XORED))

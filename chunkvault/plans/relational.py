@@ -128,3 +128,36 @@ def sql_json_string(spark, sf):
 def sql_math_date(spark, sf):
     e = F.col("event_id")
     return table(spark, sf, "events").select("event_id", F.floor(F.sqrt(e)).alias("root"), (e % 7).alias("rest"), e.bitwiseAND(F.lit(255)).alias("low"), (F.dayofweek("ts") - 1).alias("dow"), F.date_trunc("month", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("month"))
+
+
+@query("select r_name, o_orderpriority, count(*)::bigint as nations from region cross join (select distinct o_orderpriority from orders) p left join nation on n_regionkey = r_regionkey group by all")
+def sql_join_cross(spark, sf):
+    """A cross product of two small dimensions, as a grid to count on."""
+    grid = table(spark, sf, "region").crossJoin(table(spark, sf, "orders").select("o_orderpriority").distinct())
+    counts = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count(F.lit(1)).alias("nations"))
+    return grid.join(counts, "r_regionkey", "left").select("r_name", "o_orderpriority", F.coalesce("nations", F.lit(0)).alias("nations"))
+
+
+@query("select a.s_suppkey, count(*)::bigint as richer from supplier a join supplier b on b.s_nationkey = a.s_nationkey and b.s_acctbal > a.s_acctbal group by a.s_suppkey")
+def sql_join_theta(spark, sf):
+    """An inequality within equal keys."""
+    a = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    b = a.select("s_nationkey", F.col("s_acctbal").alias("other"))
+    return a.join(b, "s_nationkey").where("other > s_acctbal").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("richer"))
+
+
+@query("select k, count(*)::bigint as n from (select c_nationkey as k from customer union all select s_nationkey from supplier) group by k")
+def sql_union_all(spark, sf):
+    both = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).unionAll(table(spark, sf, "supplier").select("s_nationkey"))
+    return both.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select o_orderkey from orders order by o_totalprice, o_orderkey limit 20 offset 15")
+def sql_offset(spark, sf):
+    return table(spark, sf, "orders").orderBy("o_totalprice", "o_orderkey").offset(15).limit(20).select("o_orderkey")
+
+
+@query("select event_type, round(var_samp(event_id), 2) as var, round(stddev_pop(event_id), 2) as sd, round(corr(event_id, user_id), 6) as r, median(event_id)::double as mid, approx_count_distinct(user_id) > 0 as some from events group by event_type")
+def sql_statistics(spark, sf):
+    found = table(spark, sf, "events").groupBy("event_type").agg(F.round(F.var_samp("event_id"), 2).alias("var"), F.round(F.stddev_pop("event_id"), 2).alias("sd"), F.round(F.corr("event_id", "user_id"), 6).alias("r"), F.median("event_id").alias("mid"), (F.approx_count_distinct("user_id") > 0).alias("some"))
+    return found

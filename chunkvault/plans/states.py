@@ -8,41 +8,17 @@ from pyspark.sql.window import Window as W
 from chunkvault.functions import names as N
 from chunkvault.operators import maintenance as U
 from chunkvault.operators import manifests as M
+from chunkvault.operators import snapshots as S
 from chunkvault.operators import tracking as T
 from chunkvault.operators.chunks import chunk_scan
 from chunkvault.plans.catalog import CHAIN, CHUNKS, FILES, LOG, G, files, query, table, with_, write_log
-from chunkvault.plans.lifecycle import DIRTY, MANIFESTS
+from chunkvault.plans.lifecycle import DIFF, DIRTY, MANIFESTS, OLD_NEW
 from chunkvault.plans.upkeep import ENCODED
 from chunkvault.streaming import jobs
 
 
-@query(
-    "select o_custkey as name, case when l.at is not null and date_diff('hour', l.at, timestamp '1998-08-02') <= 48000 then 0 when r.at is not null then 1 end as tier from (select distinct o_custkey from orders) "
-    "left join (select o_custkey, max(o_orderdate) as at from orders where o_orderstatus = 'O' group by all) l using (o_custkey) left join (select o_custkey, max(o_orderdate) as at from orders where o_orderstatus <> 'O' group by all) r using (o_custkey)"
-)
-def tiered_manifest(spark, sf):
-    """A local tap if young enough, else the remote one."""
-    orders = table(spark, sf, "orders")
-    at = orders.groupBy(F.col("o_custkey").alias("name")).agg(F.max(F.when(F.col("o_orderstatus") == "O", F.col("o_orderdate"))).alias("local"), F.max(F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate"))).alias("remote"))
-    hours = F.expr("timestampdiff(hour, date_trunc('hour', local), timestamp_ntz'1998-08-02 00:00:00')")
-    return at.select("name", F.when(F.col("local").isNotNull() & (hours <= 48000), 0).when(F.col("remote").isNotNull(), 1).alias("tier"))
-
-
-@query(with_(f"select f.db_id, {ENCODED} as name, m.len, m.contents_fp from files f join manifests m on f.db_id = m.db_id where f.db_id % 10 = 3", FILES, CHUNKS, MANIFESTS))
-def manifest_by_name(spark, sf):
-    """Replication info of given hosts and paths, by manifest name."""
-    named = files(spark, sf).withColumn("name", N.manifest_name(F.col("host"), F.col("path")))
-    held = M.build_manifests(files(spark, sf), G).join(named.select("db_id", "name"), "db_id").select("name", "len", "contents_fp")
-    return named.where("db_id % 10 = 3").select("db_id", "name").join(held, "name").select("db_id", "name", "len", "contents_fp")
-
-
-SPOOL = "case event_type when 'view' then 'staged' when 'click' then 'ready' when 'purchase' then 'consuming' else 'copied' end"
 
 
-@query(f"select user_id as db_id, max_by({SPOOL}, (ts, event_id)) as state, max(ts) as since, count(*)::bigint as moves from events group by user_id")
-def spool_state(spark, sf):
-    state = F.when(F.col("event_type") == "view", "staged").when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "purchase", "consuming").otherwise("copied")
-    return table(spark, sf, "events").groupBy(F.col("user_id").alias("db_id")).agg(F.max_by(state, F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("since"), F.count(F.lit(1)).alias("moves"))
 
 
 @query("select a.event_id, a.user_id = b.user_id and a.event_type = b.event_type as same_but_ctime, a.user_id = b.user_id and a.event_type = b.event_type and a.ts = b.ts as unchanged from events a join events b on b.event_id = a.event_id + 1")
@@ -65,28 +41,6 @@ def dirty_or_bundled(spark, sf):
     return T.dirty_chunks(log, G).select("db_id", "txn", "chunk_index").unionByName(log.select("db_id", "txn", F.lit(0).cast("long").alias("chunk_index"))).distinct()
 
 
-WORK = 40
-
-
-@query(
-    with_(
-        "select event_id, work, run from walk",
-        "ordered as (select user_id, event_id, event_id % 9 as copied, row_number() over (partition by user_id order by ts, event_id) as rn from events)",
-        f"walk as (select user_id, event_id, rn, copied + 1 as work, copied + 1 >= {WORK} as run from ordered where rn = 1 union all select o.user_id, o.event_id, o.rn, case when w.run then 0 else w.work end + o.copied + 1, case when w.run then 0 else w.work end + o.copied + 1 >= {WORK} from walk w join ordered o on o.user_id = w.user_id and o.rn = w.rn + 1)",
-        recursive=True,
-    )
-)
-def gc_work_counter(spark, sf):
-    """Work since the last collection, a running sum that collecting resets."""
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("rows"))
-    empty = F.struct(F.lit(0).cast("long").alias("work"), F.array().cast("array<struct<event_id:bigint,work:bigint,run:boolean>>").alias("out"))
-
-    def step(acc, x):
-        work = acc["work"] + x["event_id"] % 9 + 1
-        run = work >= WORK
-        return F.struct(F.when(run, 0).otherwise(work).cast("long").alias("work"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), work.alias("work"), run.alias("run")))).alias("out"))
-
-    return rows.select(F.explode(F.aggregate("rows", empty, step, lambda acc: acc["out"])).alias("o")).select("o.*")
 
 
 @query(
@@ -131,47 +85,10 @@ def last_two_uploads(spark, sf):
     return table(spark, sf, "events").where("event_type = 'purchase'").withColumn("rn", F.row_number().over(last)).where("rn <= 2").select("user_id", "event_id")
 
 
-@query(with_("select c.db_id, bool_or(c.db_id % 11 = 0 and c.chunk_index = 1) as mismatch, case when bool_or(c.db_id % 11 = 0 and c.chunk_index = 1) then 0 else count(*) end::bigint as backfill from chunks c group by c.db_id", FILES, CHUNKS))
-def rescan_escalation(spark, sf):
-    """A scrubbed chunk that isn't as listed makes the next scan start from 0."""
-    bad = F.bool_or((F.col("db_id") % 11 == 0) & (F.col("chunk_index") == 1))
-    return chunk_scan(files(spark, sf), G).groupBy("db_id").agg(bad.alias("mismatch"), F.when(bad, 0).otherwise(F.count(F.lit(1))).alias("backfill"))
-
-
-@query("select user_id % 10 as worker, count(*)::bigint as edge, count(*) filter (where event_type = 'error')::bigint as lag, count(*) filter (where event_type = 'view' and user_id % 2 = 0)::bigint as upkeep from events group by worker")
-def merged_work(spark, sf):
-    """Three streams of work for ten workers, of which every other one does no upkeep."""
-    events = table(spark, sf, "events").withColumn("worker", F.col("user_id") % 10)
-    edge, lag = events.withColumn("kind", F.lit("edge")), events.where("event_type = 'error'").withColumn("kind", F.lit("lag"))
-    merged = edge.unionByName(lag).unionByName(events.where("event_type = 'view' and worker % 2 = 0").withColumn("kind", F.lit("upkeep")))
-    return merged.groupBy("worker").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("edge", "lag", "upkeep")])
-
-
-@query("select event_id, case when event_id % 4 = 0 then false when event_id % 3 = 0 then false when event_id % 3 = 1 then event_id % 2 = 0 else true end as fetches from events")
-def refresh_levels(spark, sf):
-    """Level 0 never fetches, 1 unless a fetch is under way, 2 always; none while a read lock is held."""
-    e = F.col("event_id")
-    fetches = F.when(e % 4 == 0, False).when(e % 3 == 0, False).when(e % 3 == 1, e % 2 == 0).otherwise(True)
-    return table(spark, sf, "events").select("event_id", fetches.alias("fetches"))
 
 
-@query("select event_id, value > case event_type when 'view' then 10 when 'click' then 30 else 60 end as slow from events")
-def slow_operations(spark, sf):
-    limit = F.when(F.col("event_type") == "view", 10).when(F.col("event_type") == "click", 30).otherwise(60)
-    return table(spark, sf, "events").select("event_id", (F.col("value") > limit).alias("slow"))
 
 
-@query(with_("select chain, md5(string_agg(md5(content), '' order by db_id)) as chain_fp, max(case when prev_id is null then db_id end) as first_id from chain_files group by chain", FILES, CHAIN))
-def chain_fingerprint(spark, sf):
-    """A fingerprint of all versions of a chain, in order."""
-    rows = M.chain(files(spark, sf)).groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("db_id", F.md5("content").alias("f")))).alias("v"), F.max(F.when(F.col("prev_id").isNull(), F.col("db_id"))).alias("first_id"))
-    return rows.select("chain", F.md5(F.array_join(F.transform("v", lambda x: x["f"]), "").cast("binary")).alias("chain_fp"), "first_id")
-
-
-@query("select user_id, count(*)::bigint as events, max(ts) as last from events group by user_id")
-def stream_lag(spark, sf):
-    """Progress of each source, as a streaming aggregate."""
-    return jobs.stream_progress(spark, f"{sf}/events.parquet").select("user_id", "events", F.col("last").cast("timestamp_ntz").alias("last"))
 
 
 @query(None)
@@ -191,3 +108,89 @@ def wire_roundtrip(spark, sf):
     sent = files(spark, sf).select("db_id", m.alias("m")).withColumn("raw", to_wire("m")).withColumn("blob", compress("raw"))
     back = sent.withColumn("again", from_wire(plain_or_raw("blob", F.md5("raw"))))
     return back.select("db_id", (F.to_json("again") == F.to_json("m")).alias("same"))
+
+
+# The second half of August 1998: a tap is taken for 48 hours.
+NOW = "1998-08-02 00:00:00"
+
+
+@query(
+    "select k as name, case when bool_or(kind = 0 and made between timestamp '1998-08-02' - interval 48 hour and timestamp '1998-08-02') then 0 when bool_or(kind = 1) then 1 when bool_or(kind = 2) then 2 end as tier "
+    "from (select o_custkey::varchar as k, o_orderkey % 3 as kind, case when o_custkey % 3 = 0 then o_orderdate + to_days((date_diff('day', o_orderdate, timestamp '1998-08-02') - o_orderkey % 5)::int) else o_orderdate end as made from orders) group by k"
+)
+def tiered_manifest(spark, sf):
+    """Which tier gives the manifest of each name: a local tap of at most 48 hours, else the first remote that has one."""
+    k = F.col("o_orderkey")
+    at = F.when(F.col("o_custkey") % 3 == 0, F.expr("cast(o_orderdate as timestamp) + make_interval(0, 0, 0, datediff(date'1998-08-02', o_orderdate) - o_orderkey % 5)")).otherwise(F.col("o_orderdate").cast("timestamp"))
+    held = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("name"), (k % 3).alias("kind"), at.alias("at"))
+    return S.tiered_manifests(held, [held.where("kind = 0")], [held.where("kind = 1"), held.where("kind = 2")], F.lit(NOW).cast("timestamp"))
+
+
+@query(with_(f"select f.db_id, {ENCODED} as name, m.len, m.contents_fp from files f join manifests m on f.db_id = m.db_id", FILES, CHUNKS, MANIFESTS))
+def manifest_by_name(spark, sf):
+    """Replication info of hosts and paths, by manifest name."""
+    named = files(spark, sf).select("db_id", N.manifest_name(F.col("host"), F.col("path")).alias("name"))
+    held = M.build_manifests(files(spark, sf), G).join(named, "db_id").select("name", "len", "contents_fp")
+    return named.join(held, "name").select("db_id", "name", "len", "contents_fp")
+
+
+@query(
+    with_(
+        "select event_id, work, run from walk",
+        "ordered as (select user_id, event_id, event_id % 9 as copied, 5 + user_id % 20 as n, row_number() over (partition by user_id order by ts, event_id) as rn from events)",
+        "walk as (select user_id, event_id, rn, copied + 1 as work, (copied + 1) // 2 >= n as run from ordered where rn = 1 union all select o.user_id, o.event_id, o.rn, case when w.run then 0 else w.work end + o.copied + 1, (case when w.run then 0 else w.work end + o.copied + 1) // 2 >= o.n from walk w join ordered o on o.user_id = w.user_id and o.rn = w.rn + 1)",
+        recursive=True,
+    )
+)
+def gc_work_counter(spark, sf):
+    """Work since the last collection, which runs once half of it reaches the number of chunks."""
+    e = F.col("event_id")
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", (e % 9).alias("copied"), (5 + F.col("user_id") % 20).alias("n"))
+    return U.work_since(events, "user_id", ["ts", "event_id"], "copied", "n")
+
+
+@query(with_("select db_id, bool_or(db_id % 11 = 0 and chunk_index = 1) as mismatch, case when bool_or(db_id % 11 = 0 and chunk_index = 1) then 0 else count(*) end::bigint as backfill from chunks group by db_id", FILES, CHUNKS))
+def rescan_escalation(spark, sf):
+    """Every other listed chunk is read again; where the bytes have changed without a trace, the next scan starts from 0."""
+    data = F.when((F.col("db_id") % 11 == 0) & (F.octet_length("content") > G), F.concat(F.substring("content", 1, G), F.lit(b"!"), F.expr(f"substring(content, {G + 2})"))).otherwise(F.col("content"))
+    now = chunk_scan(files(spark, sf).withColumn("content", data), G).where("chunk_index % 2 = 1").select("db_id", "chunk_index", "fp")
+    return T.rescan_from(chunk_scan(files(spark, sf), G).select("db_id", "chunk_index", "fp"), now, "db_id")
+
+
+@query(with_("select chain, md5(string_agg(md5(content), '' order by db_id)) as chain_fp, max(case when prev_id is null then db_id end) as first_id from chain_files group by chain", FILES, CHAIN))
+def chain_fingerprint(spark, sf):
+    """A fingerprint of all versions of a chain, in order."""
+    prints = files(spark, sf).select("db_id", F.md5("content").alias("f"))
+    rows = M.chain(files(spark, sf)).join(prints, "db_id").groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("db_id", "f"))).alias("v"), F.max(F.when(F.col("prev_id").isNull(), F.col("db_id"))).alias("first_id"))
+    return rows.select("chain", F.md5(F.array_join(F.transform("v", lambda x: x["f"]), "").cast("binary")).alias("chain_fp"), "first_id")
+
+
+@query(with_("select db_id, count(*)::bigint as snapshotted, count(*) filter (where change <> 'same')::bigint as copied from diff where change <> 'removed' group by db_id", FILES, CHUNKS, CHAIN, OLD_NEW, DIFF))
+def copied_counts(spark, sf):
+    """How many chunks a snapshot looked at, and how many of them it had to stage."""
+    from chunkvault.plans.lifecycle import manifest_diff
+
+    return U.copied_counts(manifest_diff(spark, sf), ["db_id"])
+
+
+@query("select user_id, greatest(coalesce(epoch_us(max(ts) filter (where event_type <> 'purchase')), 0) - coalesce(epoch_us(max(ts) filter (where event_type = 'purchase')), 0), 0)::bigint as lag_us from events group by user_id")
+def stream_lag(spark, sf):
+    """How far each file's uploads (purchases) are behind its changes, as a streaming aggregate."""
+    return jobs.stream_lag(spark, f"{sf}/events.parquet", "purchase")
+
+
+JITTER = 21_600_000_000
+
+
+@query(
+    with_(
+        "select event_id from walk where kept",
+        "ordered as (select user_id, event_id, epoch_us(ts) as us, (event_id * 7919) % 21600000000 as back, row_number() over (partition by user_id order by ts, event_id) as rn from events)",
+        "walk as (select user_id, event_id, rn, us - back as last, true as kept from ordered where rn = 1 union all select o.user_id, o.event_id, o.rn, case when o.us - w.last > 86400000000 then o.us - o.back else w.last end, o.us - w.last > 86400000000 from walk w join ordered o on o.user_id = w.user_id and o.rn = w.rn + 1)",
+        recursive=True,
+    )
+)
+def recent_work(spark, sf):
+    """Copies that are due: the last one is more than a day ago, its time being set back by its jitter."""
+    events = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") * 7919 % JITTER).alias("back"))
+    return U.fold_kept(events, ["user_id"], "event_id", "at", 86_400_000_000, "back")

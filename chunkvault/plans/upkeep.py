@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chunkvault.functions import names as N
+from chunkvault.functions import rules as R
 from chunkvault.operators import maintenance as U
+from chunkvault.operators import manifests as M
 from chunkvault.operators.chunks import chunk_scan
 from chunkvault.plans.catalog import CHUNKS, FILES, LOG, G, files, query, table, with_, write_log
 from chunkvault.plans.lifecycle import DIRTY
@@ -28,13 +30,6 @@ def gc_chunks(spark, sf):
     return U.garbage(scanned.where("db_id % 4 < 3"), scanned.where("db_id % 4 > 1"))
 
 
-@query(with_("select fp from chunks where db_id % 2 = 0 union select md5(fp) from chunks where db_id % 2 = 1 and chunk_index = 0", FILES, CHUNKS))
-def live_set(spark, sf):
-    """Fingerprints of the manifest and of its base chunk."""
-    scanned = _chunks(spark, sf)
-    base = scanned.where("db_id % 2 = 1 and chunk_index = 0").select(F.md5("fp").alias("fp"))
-    return scanned.where("db_id % 2 = 0").select("fp").union(base).distinct()
-
 
 @query("select event_id, (event_id % 9 >= (event_id * 31) % ((user_id // 4) + 1)) or ((event_id % 50) // 2 >= user_id) as collect from events")
 def gc_partial_decision(spark, sf):
@@ -42,13 +37,8 @@ def gc_partial_decision(spark, sf):
     return table(spark, sf, "events").select("event_id", U.partial_collection(e % 9, e % 50, F.col("user_id"), e * 31).alias("collect"))
 
 
-@query("select c_custkey as db_id from customer where c_custkey not in (select o_custkey from orders) and c_custkey % 3 <> 0")
-def orphan_taps(spark, sf):
-    live = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    old = table(spark, sf, "customer").where("c_custkey % 3 <> 0")
-    return old.join(live, "c_custkey", "left_anti").select(F.col("c_custkey").alias("db_id"))
-
 
+TARGETS_SCHEMA = "replication_targets array<struct<s3:struct<region:string,chunk_bucket:string,manifest_bucket:string>,local:struct<directory:string,num_shards:int,capacity:bigint>,read_only:struct<directory:string>>>"
 TARGETS = "targets as (select n_regionkey as owner, n_nationkey as pos, case n_nationkey % 3 when 0 then 's3' when 1 then 'local' else 'read_only' end as kind from nation)"
 
 
@@ -81,10 +71,6 @@ def lag_report(spark, sf):
     return _lag(spark, sf).select("db_id", "headers_match", F.col("lag_s").cast("long").alias("lag_s"), "stale")
 
 
-@query(with_("select count(*) filter (where stale)::bigint as stale, count(*) filter (where lag_s > 0 and headers_match)::bigint as maybe_stale, count(*)::bigint as tracked from lags", LAG, LAGS))
-def stale_counts(spark, sf):
-    return _lag(spark, sf).agg(F.count_if("stale").alias("stale"), F.count_if(F.expr("lag_s > 0 and headers_match")).alias("maybe_stale"), F.count(F.lit(1)).alias("tracked"))
-
 
 OUTCOMES = "outcomes as (select user_id, event_id, ts, case event_type when 'purchase' then 'update' when 'error' then 'failure' else 'success' end as kind from events)"
 
@@ -154,11 +140,6 @@ def upload_batches(spark, sf):
     return U.batches(files(spark, sf).select("chain", "db_id"), "chain", ["db_id"])
 
 
-@query(with_("select chain, fp from (select chain, fp, row_number() over (partition by chain order by md5(fp || 'patrol'), fp) as rn, count(*) over (partition by chain) as n from (select distinct chain, fp from chunks)) where rn <= ceil(n * 5 / 100.0)", FILES, CHUNKS))
-def patrol_sample(spark, sf):
-    chains = files(spark, sf).select("db_id", "chain")
-    return U.patrol(_chunks(spark, sf).join(chains, "db_id"), "chain", 5, "patrol")
-
 
 STATUS = "reqs as (select event_id, 200 + event_id % 400 as status, user_id % 5 as attempt from events)"
 
@@ -207,12 +188,6 @@ def manifest_names(spark, sf):
     return files(spark, sf).select("db_id", N.manifest_name(F.col("host"), F.col("path")).alias("name"))
 
 
-@query(with_("select db_id, case when strlen(m) >= 230 then m[1:104] || md5(m) || m[-104:] else m end as name, case when strlen(m) < 230 then p end as again from (select db_id, p, replace(replace(replace(p, '%', '%25'), '#', '%23'), '/', '#') as m from (select db_id, path || repeat('/x#%', db_id % 80) as p from files))", FILES))
-def mangle_paths(spark, sf):
-    path = F.concat("path", F.repeat(F.lit("/x#%"), (F.col("db_id") % 80).cast("int")))
-    named = files(spark, sf).select("db_id", N.mangled(path).alias("name"))
-    return named.withColumn("again", N.unmangled(F.col("name")))
-
 
 URIS = "uris as (select page_id, case page_id % 5 when 0 then url when 1 then 's3://bucket.us-east-1/' || page_id when 2 then 'replica://host/' || page_id when 3 then 'file:///tmp/' || page_id else '/tmp/' || page_id end as uri from pages)"
 
@@ -225,26 +200,15 @@ def uri_dispatch(spark, sf):
     return table(spark, sf, "pages").select("page_id", uri.alias("uri")).select("page_id", N.source_kind(F.col("uri")).alias("reader"), bucket.alias("bucket"), region.alias("region"))
 
 
-@query("select n_nationkey, case when n_nationkey % 3 = 0 then 'http://127.0.0.1:9000' when n_nationkey % 3 = 1 then 'https://example.org/x' else 'https://r' || n_nationkey end as endpoint from nation")
-def region_parse(spark, sf):
-    k = F.col("n_nationkey")
-    region = F.when(k % 3 == 1, "mine.example.org/x").otherwise(F.concat(F.lit("r"), k.cast("string")))
-    return table(spark, sf, "nation").select("n_nationkey", N.endpoint(region, F.when(k % 3 == 0, "http://127.0.0.1:9000")).alias("endpoint"))
-
-
-@query("select event_id, coalesce((props::json ->> 'k')::bigint, 0) as k, '{\"replication\":{\"local\":{\"directory\":\"/d' || event_id || '\",\"num_shards\":10}}}' as target from events")
-def json_targets(spark, sf):
-    local = F.struct(F.concat(F.lit("/d"), F.col("event_id").cast("string")).alias("directory"), F.lit(10).alias("num_shards"))
-    target = F.to_json(F.struct(F.struct(local.alias("local")).alias("replication")))
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.from_json("props", "k bigint")["k"], F.lit(0)).alias("k"), target.alias("target"))
 
 
+# The keys of the policy format.
 POLICIES = "policies as (select event_id, case event_id % 4 when 0 then '\"default\"' when 1 then '{\"eager\": null}' when 2 then '{\"partial\": {}}' else '{\"partial\": {\"min\": 1, \"max\": 10}}' end as p from events)"
 
 
-@query(with_("select event_id, case event_id % 4 when 0 then 'default' when 1 then 'eager' else 'partial' end as policy, case when event_id % 4 = 3 then 1::bigint end as least, case when event_id % 4 = 3 then 10::bigint end as most from policies", POLICIES))
+@query(with_("select event_id, case event_id % 4 when 0 then 'default' when 1 then 'eager' else 'partial' end as policy, case when event_id % 4 = 3 then 3::bigint end as least, case when event_id % 4 = 3 then 25::bigint end as most from policies", POLICIES))
 def json_policy(spark, sf):
-    texts = F.array(*[F.lit(x) for x in ('"default"', '{"eager": null}', '{"partial": {}}', '{"partial": {"min": 1, "max": 10}}')])
+    texts = F.array(*[F.lit(x) for x in ('"default"', '{"eager": null}', '{"partial": {}}', '{"partial": {"min": 3, "max": 25}}')])
     rows = table(spark, sf, "events").select("event_id", F.element_at(texts, (F.col("event_id") % 4 + 1).cast("int")).alias("p"))
     parsed = F.from_json("p", "partial struct<min: bigint, max: bigint>")["partial"]
     kind = F.when(F.col("p").startswith('"'), F.regexp_replace("p", '"', "")).otherwise(F.regexp_extract("p", r'^\{"(\w+)"', 1))
@@ -258,10 +222,6 @@ def stat_line_parse(spark, sf):
     return table(spark, sf, "events").select("event_id", N.birth_tick(line).alias("tick"))
 
 
-@query("select event_id, lower(event_type[1:1]) in ('0', 'f', 'n') or lower(event_type[1:3]) = 'off' as off, user_id || '.' || lpad((event_id % 1000)::varchar, 9, '0') as at from events")
-def params_and_times(spark, sf):
-    return table(spark, sf, "events").select("event_id", N.falsy(F.col("event_type")).alias("off"), N.ns_timestamp(F.col("user_id"), F.col("event_id") % 1000).alias("at"))
-
 
 @query("select event_id, event_id + d as ts, rank::int as rank from events, (values (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) v(rank, d)")
 def candidate_instances(spark, sf):
@@ -284,6 +244,87 @@ def zstd_arbitration(spark, sf):
     return blobs.select("db_id", (plain_or_raw(F.col("blob"), F.col("fp")) == F.col("content")).alias("same"))
 
 
+@query(with_("select fp from chunks where db_id % 2 = 0 union select md5(unhex(string_agg(le, '' order by chunk_index))) from (select db_id, chunk_index, array_to_string(list_reverse(regexp_extract_all(substr(fp, 1, 16), '..')), '') || array_to_string(list_reverse(regexp_extract_all(substr(fp, 17, 16), '..')), '') as le from chunks where db_id % 2 = 0) group by db_id", FILES, CHUNKS))
+def live_set(spark, sf):
+    """Fingerprints that manifests need: of their chunks, and of their base chunks, the lists' bytes."""
+    own = files(spark, sf).where("db_id % 2 = 0")
+    base = own.select(F.md5(M.bytes_of_words(M.words(F.col("content"), G))).alias("fp")).where(F.octet_length("content") > 0)
+    return chunk_scan(own, G).select("fp").union(base).distinct()
+
+
+@query("select c_custkey as db_id from customer where c_custkey not in (select o_custkey from orders) and c_custkey % 48 >= 24")
+def orphan_taps(spark, sf):
+    """Taps of files that are gone, a day old at least."""
+    taps = table(spark, sf, "customer").select(F.col("c_custkey").alias("db_id"), F.expr("timestamp'2024-01-03 00:00:00' - make_interval(0, 0, 0, 0, cast(c_custkey % 48 as int))").alias("at"))
+    live = table(spark, sf, "orders").select(F.col("o_custkey").alias("db_id"))
+    return U.orphans(taps, live, "db_id", "at", F.lit("2024-01-03 00:00:00").cast("timestamp")).select("db_id")
+
+
+@query(
+    with_(
+        "select count(*) filter (where late and not headers_match)::bigint as stale, count(*) filter (where late and headers_match)::bigint as maybe_stale, count(*)::bigint as tracked from (select *, coalesce(source_at > replicated_at, true) and timestamp '1998-07-01' - source_at >= interval 120 second as late from lag)",
+        LAG,
+    )
+)
+def stale_counts(spark, sf):
+    """Sources whose replica is behind, and which changed 120 seconds ago or earlier."""
+    return U.lag_counts(_lag(spark, sf), F.lit("1998-07-01 00:00:00").cast("timestamp"))
+
+
+PATROL = "wanted as (select chain, fp, rn, n, n * least(greatest((3600.0 * (n % 30))::double / 86400, 0), 1) as w, (n % 10) / 10.0::double as draw from (select chain, fp, row_number() over (partition by chain order by md5(fp || 'patrol'), fp) as rn, count(*) over (partition by chain) as n from (select distinct chain, fp from chunks)))"
+
+
+@query(with_("select chain, fp from wanted where rn <= least(floor(w) + case when draw < least((w - floor(w)) * 2, 1) then 1 else 0 end, n)", FILES, CHUNKS, PATROL))
+def patrol_sample(spark, sf):
+    """Chunks that a patrol touches: the share of a day that has elapsed, rounded up by chance."""
+    chains = files(spark, sf).select("db_id", "chain")
+    wanted = R.desired_touches(F.col("n"), 3600.0 * (F.col("n") % 30), 86_400.0, (F.col("n") % 10) / F.lit(10.0))
+    return U.patrol(_chunks(spark, sf).join(chains, "db_id").select("chain", "fp"), "chain", wanted, "patrol")
+
+
+TARGET_JSON = '{"replication_targets":[{"s3":{"region":"r","chunk_bucket":"c%d","manifest_bucket":"m"}},{"local":{"directory":"/d%d","num_shards":10,"capacity":1000}},{"read_only":{"directory":"/ro"}},{"local":{"directory":"/second"}}]}'
+
+
+@query("select event_id, pos::int as pos, kind, place, role from events, (values (0, 's3', null), (1, 'local', 'writer'), (2, 'read_only', 'reader'), (3, 'local', 'reader')) t(pos, kind, role), lateral (select case pos when 0 then 'c' || event_id when 1 then '/d' || event_id when 2 then '/ro' else '/second' end as place)")
+def json_targets(spark, sf):
+    """Target lists from their JSON, one row a target, and the cache tier that each is."""
+    e = F.col("event_id").cast("string")
+    text = F.replace(F.replace(F.lit(TARGET_JSON), F.lit("c%d"), F.concat(F.lit("c"), e)), F.lit("d%d"), F.concat(F.lit("d"), e))
+    listed = table(spark, sf, "events").select("event_id", F.posexplode(F.from_json(text, TARGETS_SCHEMA)["replication_targets"]).alias("pos", "t"))
+    kind = F.when(F.col("t.s3").isNotNull(), "s3").when(F.col("t.local").isNotNull(), "local").otherwise("read_only")
+    targets = listed.select("event_id", "pos", kind.alias("kind"), F.coalesce("t.s3.chunk_bucket", "t.local.directory", "t.read_only.directory").alias("place"))
+    return targets.join(U.roles(targets, "event_id", "pos", "kind").select("event_id", "pos", "role"), ["event_id", "pos"], "left").select("event_id", "pos", "kind", "place", "role")
+
+
+@query(
+    "select n_nationkey, case n_nationkey % 5 when 0 then 'http://127.0.0.1:9000' when 1 then 'https://example.org/x' when 2 then 'https://r' || n_nationkey when 3 then 'https://s3.us-east-1.amazonaws.com' else 'https://s3.eu-west-3.amazonaws.com' end as endpoint, "
+    "case n_nationkey % 5 when 0 then 'r' || n_nationkey || '.y' when 1 then 'mine' when 2 then 'r' || n_nationkey when 3 then 'us-east-1' else 'eu-west-3' end as region from nation"
+)
+def region_parse(spark, sf):
+    """Regions with an endpoint, of the form name.endpoint, bare ones, and standard ones."""
+    k = F.col("n_nationkey")
+    bare = F.concat(F.lit("r"), k.cast("string"))
+    region = F.when(k % 5 == 0, F.concat(bare, F.lit(".y"))).when(k % 5 == 1, "mine.example.org/x").when(k % 5 == 2, bare).when(k % 5 == 3, "us-east-1").otherwise("eu-west-3")
+    given = F.when(k % 5 == 0, "http://127.0.0.1:9000")
+    return table(spark, sf, "nation").select("n_nationkey", N.endpoint(region, given).alias("endpoint"), N.region_name(region, given).alias("region"))
+
+
+@query("select event_id, user_id || '.' || lpad((event_id % 1000)::varchar, 9, '0') as at, user_id || '.' || case when event_id % 2 = 0 then '999999999' else '000000000' end as clamped from events")
+def timestamps(spark, sf):
+    far = F.when(F.col("event_id") % 2 == 0, F.lit(10**12)).otherwise(F.lit(-5))
+    return table(spark, sf, "events").select("event_id", N.ns_timestamp(F.col("user_id"), F.col("event_id") % 1000).alias("at"), N.ns_timestamp(F.col("user_id"), far).alias("clamped"))
+
+
+MANGLED = "replace(replace(replace(replace(replace(replace(p, '%', '%25'), '#', '%23'), chr(1), '%01'), 'é', '%C3%A9'), chr(127), '%7F'), '/', '#')"
+
+
+@query(with_(f"select db_id, case when strlen(m) >= 230 then m[1:104] || md5(m) || m[-104:] else m end as name, case when strlen(m) < 230 then p end as again from (select db_id, p, {MANGLED} as m from (select db_id, path || ' +&' || chr(127) || repeat('/x#é%' || chr(1), db_id % 20) as p from files))", FILES))
+def mangle_paths(spark, sf):
+    path = F.concat("path", F.lit(" +&\x7f"), F.repeat(F.lit("/x#é%\x01"), (F.col("db_id") % 20).cast("int")))
+    named = files(spark, sf).select("db_id", N.mangled(path).alias("name"))
+    return named.withColumn("again", N.unmangled(F.col("name")))
+
+
 # Streaming forms: each runs to the end of its input and returns what it wrote.
 
 
@@ -302,6 +343,23 @@ def stream_dedup(spark, sf):
     return jobs.stream_distinct(spark, f"{sf}/events.parquet", ["user_id", "event_type"])
 
 
+def _late_sql() -> str:
+    """Windows that are closed once all batches are in, of the events that came in time."""
+    return "select day, event_type, count(*)::bigint as n from (select *, date_trunc('day', ts) as day from events where ts >= timestamp '2024-01-20' or event_id % 3 < 2) where day + interval 1 day <= (select max(ts) from events) - interval 1 day group by day, event_type"
+
+
+@query(_late_sql())
+def stream_late_events(spark, sf):
+    """Daily counts in append mode over four files, of which the last holds events that the watermark has passed: they are dropped."""
+    return jobs.stream_late(spark, f"{sf}/events.parquet").select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query(_throttle_sql("user_id, event_type", DAY))
+def stream_throttle_batches(spark, sf):
+    """The throttle over several files in order of time, its state carried from batch to batch."""
+    return jobs.stream_throttle(spark, jobs.in_files(spark, f"{sf}/events.parquet", 4), DAY)
+
+
 @query("select date_trunc('day', ts) as day, event_type, count(*)::bigint as n from events group by all")
 def stream_tumbling(spark, sf):
     return jobs.stream_windows(spark, f"{sf}/events.parquet", "1 day").select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
