@@ -39,12 +39,14 @@ class SnapshotReader(DataSourceReader):
                 newest[m["name"]] = m
         return [_Part(m) for m in newest.values()]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
+    def read(self, partition: _Part | None) -> Iterator[tuple]:
         import hashlib
         import struct
 
         import pyarrow.compute as pc
 
+        if partition is None:  # Spark's stand-in where there are no partitions
+            return
         m = partition.manifest
         words = [w & ((1 << 64) - 1) for w in m["words"]]
         chunks = lambda fps: {c["fp"]: c["data"] for c in _commits(self.root, "chunks", ["fp", "data"], pc.field("fp").isin(sorted(fps)))}

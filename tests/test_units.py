@@ -64,18 +64,56 @@ def test_xor_is_its_own_inverse(spark):
     assert coded.first().coded == [0, 2, 3]
 
 
-def test_names(spark):
-    one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(N.percent_encoded(F.lit("/a@<<sd!%-_/.asd/*'fdg(g/)\\~).db"))) == "%2Fa%40%3C%3Csd!%25-_%2F.asd%2F*'fdg(g%2F)%5C%7E).db"
-    assert one(N.unmangled(N.mangled(F.lit("/%asd#//%60")))) == "/%asd#//%60"
-    assert "/" not in one(N.mangled(F.lit("/%asd#//%60")))
-    for x, whole in ((220, True), (221, False), (1000, False)):
-        name = one(N.mangled(F.lit("/foo/bar/" + "X" * x)))
-        assert (len(name) < 230) == whole and (len(name) == 240 or whole)
-        assert (one(N.unmangled(F.lit(name))) is not None) == whole
-    fp = "f" * 31 + "e"
-    assert one(N.chunk_name_fp(N.chunk_name(F.lit(fp)))) == fp
-    assert one(N.chunk_name_fp(F.lit("no name"))) is None
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+ODD_PATHS = ["/srv/data/a b.db", "/x/100%/y#1", "/tab\there/\x7f", "/naïve/ß/漢字.db", "/plus+and&more;=?", "/#%23%2F/../", "//", "/quotes'\"`<>[]{}|\\^~!$()*,:@"]
+
+
+@pytest.mark.parametrize("path", ODD_PATHS)
+def test_paths_as_file_names(spark, path):
+    """By the rule: # for slashes; controls, #, % and bytes from 128 on as %XX; all else as it is."""
+    name = one(spark, N.mangled(F.lit(path)))
+    assert name == "".join("#" if b == 47 else f"%{b:02X}" if b < 32 or b > 126 or b in b"#%" else chr(b) for b in path.encode())
+    assert "/" not in name and one(spark, N.unmangled(F.lit(name))) == path
+    encoded = one(spark, N.percent_encoded(F.lit(path)))
+    assert encoded == "".join(chr(b) if b < 128 and (chr(b).isalnum() or chr(b) in "!-_.*'()") else f"%{b:02X}" for b in path.encode())
+
+
+@pytest.mark.parametrize("size, whole", [(10, True), (228, True), (229, False), (700, False)])
+def test_long_names_keep_their_ends(spark, size, whole):
+    for path in ("/" + "q" * size, "/" + "é" * (size // 6) + "q" * (size - size // 6 * 6)):
+        plain = path.replace("/", "#").replace("é", "%C3%A9")
+        name = one(spark, N.mangled(F.lit(path)))
+        assert (name == plain) == whole and (whole or (len(name) == 240 and name.startswith(plain[:104]) and name.endswith(plain[-104:])))
+        assert one(spark, N.unmangled(F.lit(name))) == (path if whole else None)
+
+
+def test_fitting_counts_bytes(spark):
+    name = one(spark, N.fitted(F.lit("é" * 150)))
+    assert len(name.encode()) <= 255 and name[:52] == "é" * 52 and name.endswith("é" * 52)
+    assert one(spark, N.fitted(F.lit("é" * 114 + "x"))) == "é" * 114 + "x"
+    cut = one(spark, N.fitted(F.lit("x" + "é" * 150)))
+    assert cut.startswith("x" + "é" * 51 + "\ufffd") and len(cut.encode()) <= 255
+
+
+def test_chunk_names(spark):
+    for fp in ("0" * 32, "f" * 31 + "e", "0123456789abcdef" * 2):
+        assert one(spark, N.chunk_name_fp(N.chunk_name(F.lit(fp)))) == fp
+    for bad in ("no name", "0" * 35, "g" * 16 + "%2F" + "0" * 16):
+        assert one(spark, N.chunk_name_fp(F.lit(bad))) is None
+
+
+@pytest.mark.parametrize("text, on", [("off", False), ("OFF", False), ("offset", True), ("official", True), ("no", False), ("N", False), ("false", False), ("0", False), ("1", True), ("", True), ("on", True)])
+def test_bool_params(spark, text, on):
+    assert one(spark, N.bool_param(F.lit(text), False)) is on
+    assert one(spark, N.bool_param(F.lit(None).cast("string"), on)) is on
+
+
+@pytest.mark.parametrize("region, given, want", [("eu-west-1", None, "https://s3.eu-west-1.amazonaws.com"), ("eu-west-1", "http://h:1", "http://h:1"), ("store", None, "https://store"), ("a.b.c:9", None, "https://b.c:9"), ("eu-west-9", None, "https://eu-west-9")])
+def test_endpoints(spark, region, given, want):
+    assert one(spark, N.endpoint(F.lit(region), F.lit(given))) == want
 
 
 def test_package_stands_without_llm():
@@ -102,9 +140,56 @@ def test_wire_format():
             decode_manifest(bad)
 
 
-def test_store_falls_back_only_where_unset(spark):
-    from chunkvault.storage import forget, shared_dir, store
+def test_wire_bytes():
+    """Buffers written by hand from the format: fields in order of their tags, lengths and fixed words least byte first."""
+    from chunkvault.functions.wire import decode_manifest, encode_manifest
 
-    first = store(spark.range(3).toDF("x"), "t")
-    assert first.count() == 3 and shared_dir(spark) == shared_dir(spark)
-    forget(spark)
+    body = b"\x0a\x12" + b"\x09" + (7).to_bytes(8, "little") + b"\x11" + b"\xff" * 8 + b"\x12\x02ab" + b"\x28\x81\x80\x04" + b"\x3d\x05\x00\x00\x00" + b"\x7a\x10" + (1).to_bytes(8, "little") + b"\xfe" + b"\xff" * 7
+    data = b"\x0a" + bytes([len(body)]) + body
+    made = {"header_fprint": {"major": 7, "minor": -1}, "version_id": b"ab", "len": 65537, "ctime_ns": 5, "chunks": [1, -2]}
+    assert encode_manifest(made) == data
+    found = decode_manifest(data)
+    assert {k: found[k] for k in made} == made and found["contents_fprint"] is None and found["bundled_chunks"] == []
+
+
+def test_stored_tables_go(spark):
+    from chunkvault.filesystem import Folder
+    from chunkvault.storage import CLEANUP, setting, shared_dir, store, tidy
+
+    @tidy
+    def operator(df):
+        used, unused = store(df, "used"), store(df, "unused")
+        return used.where("x > 0") if unused.count() else used
+
+    names = lambda: {n.rpartition("-")[0] for n in Folder(spark, f"{shared_dir(spark)}/chunkvault").names()}
+    before = names()
+    assert operator(spark.range(3).toDF("x")).count() == 2
+    assert names() - before == {"used"}
+    before = spark.conf.get(CLEANUP)
+    with setting(spark, CLEANUP, "true"):
+        assert spark.conf.get(CLEANUP) == "true"
+    assert spark.conf.get(CLEANUP) == before
+
+
+def test_folds_stream_over_batches(spark):
+    """A key with more events than a batch has rows: state is carried on."""
+    from chunkvault.operators import maintenance as U
+    from chunkvault.storage import setting
+
+    events = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("e"), (F.col("id") * 3).alias("at"))
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "7"):
+        kept = sorted(r.e for r in U.fold_kept(events, ["k"], "e", "at", 100).collect())
+        granted = {r.e: r.granted for r in U.token_bucket(events, "k", "e", "at", 10, 3).collect()}
+    want = []
+    for k in range(2):
+        last = None
+        for e in range(k, 5000, 2):
+            if last is None or 3 * e - last >= 100:
+                want.append(e)
+                last = 3 * e
+    assert kept == sorted(want)
+    level, last = 30, None
+    for e in range(0, 5000, 2):
+        level, last = min(30, level + (3 * e - last if last is not None else 0)), 3 * e
+        assert granted[e] == (level >= 10)
+        level -= 10 * (level >= 10)

@@ -4,8 +4,9 @@ import json
 
 import pytest
 
+from chunkvault.errors import ReadOnlyError
 from chunkvault.sources.files import Options, read_files
-from chunkvault.vault import ReadOnlyError, Vault
+from chunkvault.vault import Vault
 
 G = 64
 
@@ -26,8 +27,12 @@ def test_sync_restore_and_collect(spark, tmp_path):
     probe = spark.createDataFrame([(7, 1, 190, 20), (8, 2, 1000, 5)], "probe_id long, db_id long, offset long, length long")
     assert {r.probe_id: r.bytes_hex for r in vault.read(probe).collect()} == {7: (one + b"more")[190:210].hex().upper(), 8: ""}
     assert vault.missing().count() == 0 and vault.garbage().count() == 0
-    spark.createDataFrame([("f" * 32, 1, b"x")], "fp string, size long, data binary").write.mode("append").parquet(f"{vault.path}/chunks")
-    assert vault.collect_garbage() == 1
+    spark.createDataFrame([("f" * 32, 1, b"x")], "fp string, size long, data binary").write.mode("append").parquet(f"{vault.path}/chunks-0")
+    (tmp_path / "vault/chunks-1").mkdir()  # left by a collection that was cut off
+    assert vault.collect_garbage() == 1 and vault.collect_garbage() == 0
+    assert sorted(p.name for p in (tmp_path / "vault").glob("chunks-*")) == ["chunks-1"]
+    pieces = vault.restore_chunks().where("db_id = 1").orderBy("begin").collect()
+    assert b"".join(bytes(r.data) for r in pieces) == one + b"more" and all(r.valid for r in pieces)
     assert {r.db_id: r.valid for r in vault.restore().collect()} == {1: True, 2: True, 3: True}
     with pytest.raises(ReadOnlyError):
         vault.write(b"")
