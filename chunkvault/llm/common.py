@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from chunkvault.storage import discard, store, store_each, tidy  # noqa: F401  (operators take them from here)
 
@@ -51,6 +52,19 @@ def portions(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: in
             at = upto
 
 
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """docs with one row of each doc_id, that of the least text (then of the least hash of the row); rows without doc_id stay. Only rows that
+    repeat a doc_id are compared; where none does, docs is returned as it is."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not ids.limit(1).count():
+        return docs
+    again = store(ids, "repeated-ids")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0))
+    chosen = docs.join(again, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    return docs.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(chosen.select(*docs.columns))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chunkvault.llm.common import SPACES, WORD, bucket_bits, bucket_of, restored, sheltered, store, word_count
+from chunkvault.llm.common import SPACES, WORD, bucket_bits, bucket_of, restored, sheltered, store, tidy, word_count
 
 ROUNDS = 12
 
@@ -163,6 +163,7 @@ def mix_sources(docs: DataFrame, block_words: int = 1024, slots_per_shard: int =
     return Mix(plan, where, slots, block_words)
 
 
+@tidy
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents as the mix takes them, in docs' columns: a row for each whole pass over a document, and one
     more for each run of words that the last, partial pass takes of it, cut from the text as it is: blocks that follow

@@ -12,8 +12,8 @@ list that neither this bound nor the sketch of the union, from larger sketches,
 come from the confirmed links, by label passing over tables in the shared folder.
 
 Edge cases: null texts and texts without words have empty sets and no links; fewer than five words are one shingle;
-rows with a null doc_id have no links and no component; repeated rows of a doc_id are linked by their equal
-sets; empty tables give empty results; columns besides doc_id and text are not read.
+rows with a null doc_id have no links and no component; rows that repeat a doc_id are one document, that of the least text, and
+each gets its result; empty tables give empty results; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import portions, store
+from chunkvault.llm.common import one_row_per_id, portions, store, tidy
 
 #: Sketch sizes, the larger one for the pairs of open lists, and the probabilities that a link falls short of shared_least().
 K, MISS = 32, 1e-7
@@ -205,8 +205,10 @@ def near_links(reps: DataFrame, docs: DataFrame, k: int = K, least: int | None =
     return links, components(links)
 
 
+@tidy
 def near_duplicates(docs: DataFrame, k: int = K, least: int | None = None, percent: int = 85, width: int = 5) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+    whole, docs = docs.select("doc_id"), one_row_per_id(docs.select("doc_id", "text"))
     drawn = store(sketches(docs, k, width), "near-sketches")
     known = drawn.where("n > 0 and doc_id is not null")
     classes = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
@@ -218,4 +220,9 @@ def near_duplicates(docs: DataFrame, k: int = K, least: int | None = None, perce
     _, labels = near_links(reps, docs, k, least, percent, width)
     out = members.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
     component = F.coalesce("label", "rep")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    again = whole.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if again.limit(1).count():
+        more = out.join(again, "doc_id").withColumn("_i", F.explode(F.sequence(F.lit(2), F.col("_n").cast("int"))))
+        out = out.unionByName(more.select(*out.columns))
+    return out

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chunkvault.llm.common import portions, store
+from chunkvault.llm.common import portions, store, tidy
 
 CAPACITY, END = 1024, 2
 #: Spaces and line ends at which a cut could change the ids: next to other white space, or at either end of the text; and the mark used below.
@@ -257,6 +257,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
 
+@tidy
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked."""
     pieces = store(token_pieces(docs, tokenizer, capacity, end, with_ids), "pack-pieces")

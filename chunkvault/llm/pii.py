@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import portions, restored, sheltered, store
+from chunkvault.llm.common import portions, restored, sheltered, store, tidy
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base rules. The e-mail rule is applied from each @, so that long runs cost no more than their length.
@@ -214,6 +214,7 @@ def marked_terms(found: DataFrame, hits: DataFrame) -> DataFrame:
     return found.join(per_row, "row").select("row", "text", "base", "own").mapInArrow(rows, "row long, terms array<struct<start:int,end:int,sure:boolean>>")
 
 
+@tidy
 def find_personal(docs: DataFrame, alpha: float = 1.25, support: int = 1) -> DataFrame:
     """Per document: doc_id, base (kind, start, end) by kind and start, and terms (start, end, sure) by start."""
     found = store(mentions(docs), "pii-found")
@@ -222,6 +223,7 @@ def find_personal(docs: DataFrame, alpha: float = 1.25, support: int = 1) -> Dat
     return out.select("doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,sure:boolean>>")).alias("terms"))
 
 
+@tidy
 def personal_digest(docs: DataFrame, alpha: float = 1.25, support: int = 1) -> DataFrame:
     """The columns of the contract."""
     found = find_personal(docs, alpha, support)
@@ -233,6 +235,7 @@ def personal_digest(docs: DataFrame, alpha: float = 1.25, support: int = 1) -> D
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], sha.alias("base_sha256"), joined(F.concat("base", terms)).alias("spans"))
 
 
+@tidy
 def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 1) -> DataFrame:
     """docs with spans replaced in text: base spans by their kind in brackets, disclosing terms by [term], or nothing if they never
     occur without the entity. doc_id tells documents apart."""

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkvault.llm.common import portions, store
+from chunkvault.llm.common import portions, store, tidy
 from chunkvault.llm.near_dup import word_hashes
 
 #: At most so many labelled rows are learnt from: those whose doc_id hashes lowest.
@@ -155,6 +155,7 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return grow(x.astype(float), rows["quality"].to_numpy(float))
 
 
+@tidy
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     stats = store(document_statistics(docs), "quality-stats")
