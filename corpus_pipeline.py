@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkvault.llm import line_dedup, mixing, near_dup, packing, quality
-from chunkvault.llm.common import store
+from chunkvault.llm.common import one_row_per_id, store, tidy
 from chunkvault.llm.queries import tokenizer_path
 
 
@@ -19,33 +19,41 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+@tidy
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are scored like any; where rows repeat a doc_id and one of them is rejected, all go;
+    rows without doc_id stay; an empty table stays empty; other columns of any name pass through."""
     scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(docs, scored.where("predicted = 0"))
 
 
+@tidy
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a smaller doc_id holds too are cut from the texts."""
+    """Lines that a smaller doc_id holds too are cut from the texts. Null texts stay null; rows that repeat a doc_id are one document and lose the same
+    lines; rows without doc_id lose none; an empty table stays empty; other columns of any name pass through."""
     return _as_documents(line_dedup.dedup_lines(docs), docs)
 
 
+@tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by five-word shingles of similarity 0.8 or more, stays; rows that repeat a doc_id are one document."""
+    """One document of each group of near duplicates, by five-word shingles of similarity 0.8 or more, stays. Rows that repeat a doc_id are one document,
+    that of the least text; rows without doc_id or words stay; an empty table stays empty; other columns of any name pass through."""
+    docs = one_row_per_id(docs)
     found = store(near_dup.near_duplicates(docs, percent=80), "pipeline-near")
-    left = _without(docs, found.where("not kept"))
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    return _without(docs, found.where("not kept"))
 
 
+@tidy
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as much of them, as the mix takes."""
+    """Documents as often, and as much of them, as the mix takes. Documents without words are not taken; a null source is one of its own; rows that repeat
+    a doc_id each get its share; an empty table stays empty; other columns of any name pass through."""
     return mixing.mixed_documents(docs)
 
 
+@tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their sequences and offsets."""
+    """Pieces of at most 1024 tokens with their sequences and offsets. A null or empty text is the end token alone; each row is packed, also one that repeats
+    a doc_id or has none; an empty table gives no pieces; other columns are not read."""
     return packing.pack(docs, tokenizer_path())
 
 
