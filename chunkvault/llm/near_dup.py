@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, k: int = K, least: int | None = None, perce
     classes = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
     classes = store(classes, "near-classes")
     members = drawn.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
-    members = store(members.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "near-members")
+    members = store(members.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "near-members")
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
     reps = store(known.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch"), "near-reps")
     _, labels = near_links(reps, docs, k, least, percent, width)

@@ -103,6 +103,42 @@ def personal(text):
     return out + [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m)) <= 15]
 
 
+def terms(text):
+    """(start, end, lowered) of runs of letters and digits, and of anything beyond ASCII."""
+    return [(m.start(), m.end(), m.group().translate(LOW)) for m in re.finditer(r"[^\x00-/:-@\[-`{-\x7f]+", text or "")]
+
+
+def entities(text):
+    out = set()
+    for k, a, b in personal(text):
+        value = text[a:b]
+        out.add((k, re.sub("[^0-9]", "", value) if k >= 2 else value.lower()))
+    return out
+
+
+def disclosing(texts, alpha=1.25):
+    """For each text its spans (start, end, sure) of terms that tell an entity of it."""
+    n = len(texts)
+    held = [{t for _, _, t in terms(x) if len(t) >= 3 and not t.isdigit()} for x in texts]
+    owned = [entities(x or "") for x in texts]
+    n_t, n_c, n_ct = collections.Counter(), collections.Counter(), collections.Counter()
+    for h, o in zip(held, owned, strict=True):
+        n_t.update(h)
+        n_c.update(o)
+        n_ct.update((c, t) for c in o for t in h)
+    out = []
+    for x, o in zip(texts, owned, strict=True):
+        told = {}
+        for c in o:
+            content = math.log2(n / n_c[c])
+            for _, _, t in terms(x):
+                if n_ct[c, t] and content > 0 and math.log2(n * n_ct[c, t] / (n_c[c] * n_t[t])) >= content / alpha - 1e-12:
+                    told[t] = told.get(t, False) or n_ct[c, t] == n_t[t]
+        base = [(a, b) for _, a, b in personal(x)]
+        out.append([(a, b, told[t]) for a, b, t in terms(x) if t in told and not any(c < b and a < d for c, d in base)])
+    return out
+
+
 def line_dedup(docs):
     """{(doc_id, text): (n_lines, n_dropped, sha)}"""
     key, hold = (lambda x: x.strip(WS).translate(LOW)), collections.defaultdict(set)

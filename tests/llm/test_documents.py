@@ -135,6 +135,32 @@ def test_terms_beside_an_entity_of_one_document_go(spark):
     assert all(clean[i] == texts[i] for i in range(200))
 
 
+def test_disclosing_terms_match_brute_force(spark, rows):
+    """Every term span: of fixture and edge texts, and of texts about entities with terms of all degrees."""
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(60)]
+    texts = [t for _, t in rows]
+    for i in range(60):
+        own = rng.sample(words, rng.randint(3, 12)) + [f"Name{i % 7}"] * (i % 3) + [f"rare{i // 2}"]
+        mail = f"person{i % 9}@mail.example.org" if i % 4 else ""
+        call = "+1 555 010 %04d" % (i % 5) if i % 5 == 0 else ""
+        rng.shuffle(own)
+        texts.append(" ".join([*own[:4], mail, *own[4:], call, own[0].upper()]))
+    found = {r.doc_id: [(t["start"], t["end"], t["sure"]) for t in r.terms] for r in pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = dict(enumerate(brute.disclosing(texts)))
+    assert found == want
+    assert sum(map(len, want.values())) > 100 and {s for spans in want.values() for *_, s in spans} == {True, False}
+
+
+def test_sanitise_generalises_what_others_have_too(spark):
+    """A term that discloses, but occurs without the entity too, is generalised; one that never does is removed. Columns of any name stay."""
+    texts = [f"filler{i} some plain words here" + (" Quux" if i < 3 else "") for i in range(1000)] + ["Zebulon Quux at zeb@example.org", "zeb@example.org of Zebulon, Quux"]
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, terms string, start int")
+    clean = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    assert clean[1000].text == " [term] at [email]" and clean[1001].text == "[email] of , [term]"
+    assert all(clean[i].text == texts[i] and clean[i].terms == "x" and clean[i].start == i for i in range(1000))
+
+
 def test_line_dedup(docs, rows, empty):
     want = brute.line_dedup(rows)
     found = sorted([r.doc_id or -1, r.n_lines, r.n_dropped, r.kept_sha256] for r in line_dedup.line_digest(docs).collect())
@@ -213,6 +239,15 @@ def test_near_duplicates(docs, rows, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_rows_that_repeat_a_doc_id_are_one_document(spark):
+    """Of rows that differ the one of the least text counts, run after run, and each row gets its result."""
+    prose = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcd"]
+    rows = [(1, prose[1]), (1, prose[0]), (2, prose[0]), (3, prose[1]), (3, prose[1]), (4, None), (4, prose[2]), (5, prose[2]), (None, prose[0]), (None, prose[0])]
+    found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    want = [(1, 36, 1, True)] * 2 + [(2, 36, 1, False)] + [(3, 36, 3, True)] * 2 + [(4, 0, 4, True)] * 2 + [(5, 36, 5, True)] + [(None, 36, None, True)] * 2
+    assert sorted(map(str, found)) == sorted(map(str, want))
+
+
 def test_near_copies_of_one_text(spark):
     """A large group whose members differ more from each other than from the original."""
     rng = np.random.default_rng(2)
@@ -401,3 +436,27 @@ def test_a_passage_of_many_documents(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = brute.repeats(texts.items())
     assert digest(docs, hot=10) == want == digest(docs)
+
+
+def test_texts_of_a_megabyte(spark):
+    """Very long texts beside short ones, through every operator over texts."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(30_000)]
+    long_text = "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(14_000))
+    edited = long_text.replace(words[5], "edited")
+    texts = {3: long_text, 1: long_text[400_000:400_900] + " mail a.b@c.de", 7: edited, 9: "short", 4: long_text[-5000:] + "\ntoken=abcdefgh " + "deadbeef" * 4}
+    assert len(long_text) > 1_000_000
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert digest(docs) == brute.repeats(texts.items())
+    lines = brute.line_dedup(list(texts.items()))
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_digest(docs).collect()} == {i: v for (i, _), v in lines.items()}
+    near = brute.near_duplicates(list(texts.items()))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).collect()} == near
+    spans = {i: span_text([(k, a, b) for a, k, b in brute.secrets(t)], secrets.KINDS) for i, t in texts.items()}
+    assert {r.doc_id: r.base_sha256 for r in secrets.secret_digest(docs).collect()} == {i: brute.sha(t) for i, t in spans.items()}
+    assert {r.doc_id: r.base_sha256 for r in pii.personal_digest(docs).collect()} == {i: brute.sha(span_text(brute.personal(t), pii.KINDS)) for i, t in texts.items()}
+    assert {r.doc_id: r["size"] for r in mixing.mix_sources(docs.withColumn("source", F.lit("s"))).taken().collect()} == {i: len(brute.WORD.findall(t)) for i, t in texts.items()}
+    packed = packing.pack(docs, tokenizer_path()).toPandas()
+    assert packed.groupby("sequence_id").length.sum().max() <= 1024 and set(packed.doc_id) == set(texts)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in texts], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in quality.score(docs, labels).collect()} == set(texts)

@@ -47,5 +47,38 @@ def test_near_copies_of_similarity_0_8_go(spark, sf):
     assert {r.doc_id for r in P.drop_near_duplicates(spark, docs, sf).collect()} == {0, 10, 20}
 
 
+def test_stages_on_edge_cases(spark, sf, docs):
+    """Nulls, empty and repeated rows, missing ids and columns of clashing names: each stage on what the one before kept, written and read again."""
+    from chunkvault.llm.common import store
+
+    now = docs
+    for name, stage in P.STAGES[:-1]:
+        before, now = now, store(stage(spark, now, sf), f"test-{name}")
+        assert now.columns == docs.columns
+        if name == "quality":
+            assert {r.doc_id for r in now.collect()} <= {r.doc_id for r in docs.collect()} and now.where("doc_id is null").count() == 1
+        elif name == "line_dedup":
+            want = brute.line_dedup([(r.doc_id, r.text) for r in before.collect()])
+            assert sorted(brute.sha(r.text or "") for r in now.collect()) == sorted(want[r.doc_id, r.text][2] for r in before.collect())
+        elif name == "near_dedup":
+            rows = {(r.doc_id, r.text) for r in before.where("doc_id is not null").collect()}
+            groups = brute.near_duplicates(sorted(rows, key=str), 80)
+            assert sorted(r.doc_id for r in now.where("doc_id is not null").collect()) == sorted(i for i, (_, c) in groups.items() if c == i)
+            assert now.where("doc_id is null").count() == before.where("doc_id is null").count()
+        else:
+            size = {(r.doc_id, r.text): len(brute.WORD.findall(r.text or "")) for r in before.collect()}
+            words = sum(len(brute.WORD.findall(r.text or "")) for r in now.collect())
+            assert abs(words - sum(size.values())) <= 20
+    pieces = store(P.STAGES[-1][1](spark, now, sf), "test-packing")
+    assert pieces.where("piece = 0").count() == now.count()
+
+
+def test_stages_on_nothing(spark, sf, empty):
+    now = empty
+    for _, stage in P.STAGES:
+        now = stage(spark, now, sf)
+        assert now.count() == 0
+
+
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
