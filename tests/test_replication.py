@@ -357,3 +357,35 @@ def test_data_source(spark, place):
     rows = spark.read.format("chunkvault").option("granularity", G).load(f"{place}/r0").orderBy("chunk_index").collect()
     assert b"".join(bytes(r.data) for r in rows) == TWO and {r.seq for r in rows} == {1} and rows[0].path == "/1"
     assert spark.read.format("chunkvault").option("name", "absent").load(f"{place}/r0").count() == 0
+
+
+def test_command_line(spark, place, capsys):
+    from chunkvault.__main__ import main
+
+    api.reset()
+    data = Folder(spark, f"{place}/data")
+    (data / "one.db").write_bytes(ONE)
+    (data / "two.db").write_bytes(TWO)
+    config = json.dumps({"replication_spooling_dir": f"{place}/spool", "granularity": G, "replication_targets": [{"s3": {"directory": f"{place}/r0"}}]})
+    run = lambda *args: (main(["--config", config, *args]), capsys.readouterr())
+    code, said = run("sync", data.path, "--host", "h", "--optimize")
+    names = said.out.split()
+    path = f"file:{data.path}/one.db"
+    assert code == 0 and len(names) == 2 and run("manifest-name", "h", path)[1].out.strip() == names[0]
+    assert run("flush")[0] == 0
+    assert run("restore", "h", path, f"{place}/out")[0] == 0 and Folder(spark, f"{place}/out").read_bytes() == ONE
+    code, said = run("shell", "h", path, "select count(*) as many, sum(size) as bytes from chunks")
+    assert code == 0 and f"|{-(-len(ONE) // G)}" in said.out.replace(" ", "") and str(len(ONE)) in said.out
+    assert run("restore", "h", "/none", f"{place}/out")[0] == 1 and run("manifest", f"{place}/none")[0] == 1
+    api.reset()
+
+
+def test_chunks_of_files_of_any_size(spark, place):
+    from chunkvault.operators.chunks import chunk_scan
+    from chunkvault.sources.files import read_chunks, read_files
+
+    for name, data in (("a.db", ONE), ("b %#.db", TWO), ("empty", b"")):
+        Folder(spark, f"{place}/data/{name}").write_bytes(data)
+    whole = chunk_scan(read_files(spark, f"{place}/data", "h"), G)
+    ranged = read_chunks(spark, f"{place}/data", "h", G, 2).select("db_id", "chunk_index", "begin", "size", "fp")
+    assert sorted(map(tuple, ranged.collect())) == sorted(map(tuple, whole.collect()))
