@@ -20,7 +20,7 @@ from chunkvault.filesystem import Folder
 from chunkvault.operators import chunks as C
 from chunkvault.operators import maintenance as U
 from chunkvault.operators import manifests as M
-from chunkvault.storage import CLEANUP, setting, store
+from chunkvault.storage import store, writing
 
 CHUNKS = "fp string, size long, data binary"
 META = f"{M.MANIFEST}, identifier string"
@@ -38,7 +38,7 @@ def commit(df: DataFrame, folder: Folder) -> str | None:
     """Writes df beside the folder and moves it in as one commit, unless it has no rows; commits sort by time."""
     name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     scratch = Folder(folder.spark, f"{folder.path}.scratch/{name}")
-    with setting(folder.spark, CLEANUP, "true"):
+    with writing(folder.spark):
         df.write.option("compression", "zstd").parquet(scratch.path)
     if folder.spark.read.schema(df.schema).parquet(scratch.path).isEmpty():
         scratch.delete()

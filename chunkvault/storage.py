@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Lets Spark remove the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a table is written: that, and bounds of what Spark hands to Python at a time.
+WRITING = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _fallback: dict[str, str] = {}
 _stored: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("stored", default=None)
 
@@ -55,11 +57,20 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """The settings of WRITING, put back afterwards."""
+    with contextlib.ExitStack() as stack:
+        for key, value in WRITING.items():
+            stack.enter_context(setting(spark, key, value))
+        yield
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends, and lost executors cost nothing. The shuffle files that led to it go at
     once, as nothing reads them again."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    with setting(spark, CLEANUP, "true"):
+    with writing(spark):
         df.write.option("compression", "zstd").parquet(path)
     fs, p = _file_system(spark, path)
     fs.deleteOnExit(p)
@@ -69,7 +80,7 @@ def store(df: DataFrame, tag: str) -> DataFrame:
 def store_each(frames: Iterable[DataFrame], like: DataFrame, tag: str) -> DataFrame:
     """Writes frames of like's schema one after the other to one table, and reads it back."""
     spark, path = like.sparkSession, fresh_path(like.sparkSession, tag)
-    with setting(spark, CLEANUP, "true"):
+    with writing(spark):
         like.limit(0).write.parquet(path)
         for df in frames:
             df.write.mode("append").option("compression", "zstd").parquet(path)
