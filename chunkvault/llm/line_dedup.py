@@ -360,11 +360,11 @@ def kept_lines(docs: DataFrame, drops: DataFrame, min_chars: int = 10, with_text
 @tidy
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """docs with the lines that stay; see LineIndex.apply."""
-    return kept_lines(docs, store(LineIndex.build(docs, min_chars).drops(), "lines-drops"), min_chars)
+    return store(kept_lines(docs, store(LineIndex.build(docs, min_chars).drops(), "lines-drops"), min_chars), "lines-kept")
 
 
 @tidy
 def line_digest(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """The columns of the contract, without writing texts."""
     docs = docs.select("doc_id", "text")
-    return kept_lines(docs, store(LineIndex.build(docs, min_chars).drops(), "lines-drops"), min_chars, with_text=False)
+    return store(kept_lines(docs, store(LineIndex.build(docs, min_chars).drops(), "lines-drops"), min_chars, with_text=False), "lines-kept")

@@ -280,4 +280,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     schema = ", ".join([f"`{c}` {t}" for c, t in ranked.dtypes if c != "rank"] + ["sequence_id long", "offset long"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
-    return ranked.mapInArrow(rows, schema).select(*names)
+    return store(ranked.mapInArrow(rows, schema).select(*names), "pack-placed")

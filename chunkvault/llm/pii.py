@@ -218,7 +218,7 @@ def marked_terms(found: DataFrame, hits: DataFrame) -> DataFrame:
 def find_personal(docs: DataFrame, alpha: float = 1.25, support: int = 1) -> DataFrame:
     """Per document: doc_id, base (kind, start, end) by kind and start, and terms (start, end, sure) by start."""
     found = store(mentions(docs), "pii-found")
-    terms = marked_terms(found, disclosing(found, docs, alpha, support))
+    terms = store(marked_terms(found, disclosing(found, docs, alpha, support)), "pii-marked")
     out = found.select("row", "doc_id", "base").join(terms, "row", "left")
     return out.select("doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,sure:boolean>>")).alias("terms"))
 

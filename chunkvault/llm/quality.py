@@ -167,4 +167,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
             found = trees.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return stats.mapInArrow(rows, "doc_id long, score double, predicted int").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    found = store(stats.mapInArrow(rows, "doc_id long, score double, predicted int"), "quality-scores")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

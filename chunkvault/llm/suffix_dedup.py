@@ -337,11 +337,11 @@ def without_repeats(docs: DataFrame, covered: DataFrame, with_text: bool = True)
 @tidy
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """docs with text cut; see without_repeats."""
-    return without_repeats(docs, coverage(docs, width, gram))
+    return store(without_repeats(docs, coverage(docs, width, gram)), "suffix-kept")
 
 
 @tidy
 def substring_digest(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """The columns of the contract, without writing texts."""
     docs = docs.select("doc_id", "text")
-    return without_repeats(docs, coverage(docs, width, gram), with_text=False)
+    return store(without_repeats(docs, coverage(docs, width, gram), with_text=False), "suffix-kept")
