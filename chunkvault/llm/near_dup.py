@@ -2,8 +2,8 @@
 
 A document's set holds the hashes of its distinct five-word shingles; its sketch the k smallest of them. Documents with
 equal sets form a class, and only its smallest doc_id goes on. Inverted lists of the retained values generate pairs:
-two linked documents share at least `least` retained values (shared_least() derives it from the threshold: a link
-shares fewer with probability below 1e-7; at 0.85 it is 15 of 32, at 0.8 12), so a document whose sketch has fewer values that anyone else retains is out,
+two linked documents share at least `least` retained values (shared_least() derives it from the threshold: a link of just
+that similarity shares fewer with probability below 1e-12; at 0.85 it is 10 of 32, at 0.8 7), so a document whose sketch has fewer values that anyone else retains is out,
 and of the others the rarest values but least - 1 are indexed. The shingles that no other indexed document has bound
 what a document can share with any other, which rules out edited copies in numbers. In each list every document
 is paired with the one that has the least of them; that links most of a large group with as many pairs as documents.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from chunkvault.llm.common import one_row_per_id, portions, store, tidy
 
 #: Sketch sizes, the larger one for the pairs of open lists, and the probabilities that a link falls short of shared_least().
-K, MISS = 32, 1e-7
-WIDE, WIDE_MISS = 256, 2e-8
+K, MISS = 32, 1e-12
+WIDE, WIDE_MISS = 256, 1e-12
 
 
 def shared_least(k: int, percent: int, miss: float) -> int:

@@ -266,7 +266,7 @@ def test_near_copies_of_one_text(spark):
 
 def test_shared_values_follow_the_threshold():
     least = lambda percent: (near_dup.shared_least(near_dup.K, percent, near_dup.MISS), near_dup.shared_least(near_dup.WIDE, percent, near_dup.WIDE_MISS))
-    assert least(85) == (15, 183) and least(80) == (12, 167)
+    assert least(85) == (10, 173) and least(80) == (7, 156)
     assert near_dup.shared_least(32, 100, 1e-7) == 32
 
 
