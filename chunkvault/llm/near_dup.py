@@ -172,7 +172,7 @@ def near_links(reps: DataFrame, docs: DataFrame, k: int = K, least: int | None =
     least = shared_least(k, percent, MISS) if least is None else least
     wide_least = shared_least(WIDE, percent, WIDE_MISS)
     lists = store(retained_lists(reps, k, least, percent), "near-retained")
-    ids = lists.select(F.col("doc").alias("doc_id")).distinct()
+    ids = lists.select(F.col("doc").alias("doc_id")).distinct().hint("merge")  # they grow with the documents
     texts = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
     lists = lists.join(store(private_counts(texts, width), "near-private"), "doc", "left").withColumn("p", F.coalesce("p", F.lit(0)))
     lists = store(lists.where(f"100 * (n - p) >= {percent} * n"), "near-lists")

@@ -1,12 +1,12 @@
 """A quality classifier: histogram gradient-boosted trees over document statistics.
 
-One pass over the texts writes a row of statistics for each document: how its bytes, words and lines
-are made up and how often they repeat. Trees are grown on a sample of labelled rows of a documented bound (`sample`),
-on features cut into at most 64 quantile bins; the trees of one fixed depth are flattened into arrays that
-numpy walks for a whole batch at once.
+Statistics of a document say how its bytes, words and lines are made up and how often they repeat. Trees are grown on a sample of
+labelled rows of a documented bound (`sample`), whose ids go to every task, so that only labelled texts are looked at;
+features are cut into at most 64 quantile bins, and the trees of one fixed depth are flattened into arrays that
+numpy walks for a whole batch at once. Then one pass over all texts takes their statistics and scores them: nothing is shuffled.
 
 Edge cases: null and empty texts have statistics of zeros and are scored; labels that are null, or whose document is
-missing, are left out; without labels of both kinds every score is the mean label (1 without any); repeated rows
+missing, are left out; of rows that repeat a labelled doc_id one is learnt from, that of the least statistics; without labels of both kinds every score is the mean label (1 without any); repeated rows
 are scored each; columns besides doc_id and text are not read.
 """
 
@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from chunkvault.llm.common import portions, store, tidy
 from chunkvault.llm.near_dup import word_hashes
@@ -69,16 +70,21 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _features(texts: pa.Array) -> np.ndarray:
+    return statistics(texts).astype(np.float32)
+
+
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, stats array<float>)."""
+    """docs (with a column text) with stats array<float> in place of the text."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            stats = statistics(batch.column(1)).astype(np.float32)
+            stats = _features(batch.column("text"))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(stats.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), values], [*kept, "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, stats array<float>")
+    return docs.mapInArrow(rows, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != "text"), "stats array<float>"]))
 
 
 @dataclass
@@ -146,11 +152,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from the labelled rows that are not held out, at most `sample` of them."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = stats.join(chosen, "doc_id").toPandas().sort_values(["doc_id", "quality"])
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)  # two numbers a row: small enough for every task
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    stats = store(document_statistics(labelled).groupBy("doc_id", "quality").agg(F.min("stats").alias("stats")), "quality-stats")
+    rows = stats.toPandas().sort_values(["doc_id", "quality"])
     x = np.stack(rows["stats"].to_list()).astype(np.float32) if len(rows) else np.empty((0, len(STATISTICS)), np.float32)
     return grow(x.astype(float), rows["quality"].to_numpy(float))
 
@@ -158,14 +166,26 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 @tidy
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    stats = store(document_statistics(docs), "quality-stats")
-    trees = fit(stats, labels, sample)
+    trees = fit(docs, labels, sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS)).astype(float)
-            found = trees.scores(x)
+            found = trees.scores(_features(batch.column(1)).astype(float))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    found = store(stats.mapInArrow(rows, "doc_id long, score double, predicted int"), "quality-scores")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = store(texts.mapInArrow(rows, "doc_id long, score double, predicted int"), "quality-scores")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@tidy
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs whose text scores threshold or more, each judged by its own text, as score() does; rows without doc_id stay."""
+    trees = fit(docs, labels, sample)
+
+    @F.arrow_udf(BooleanType())
+    def good(texts: pa.Array) -> pa.Array:
+        parts = portions(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))
+        return pa.array(np.concatenate([trees.scores(_features(p.column(0)).astype(float)) >= threshold for p in parts]))
+
+    return store(docs.where(F.col("doc_id").isNull() | good("text")), "quality-accepted")
