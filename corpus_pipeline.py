@@ -16,15 +16,15 @@ def _as_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without those of ids, which grow with the documents, so they are merged and not broadcast whatever their number."""
+    return docs.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 @tidy
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. Null and empty texts are scored like any; where rows repeat a doc_id and one of them is rejected, all go;
-    rows without doc_id stay; an empty table stays empty; other columns of any name pass through."""
-    scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where("predicted = 0"))
+    """Documents that the quality classifier rejects go. Null and empty texts are scored like any; each row is judged by its own text, also where rows repeat a
+    doc_id; rows without doc_id stay; an empty table stays empty; other columns of any name pass through."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @tidy
