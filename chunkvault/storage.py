@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Lets Spark remove the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: What holds while a table is written: that, and bounds of what Spark hands to Python at a time.
-WRITING = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Rows and bytes that Spark hands to Python at a time while a table is written.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 _fallback: dict[str, str] = {}
 _stored: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("stored", default=None)
 
@@ -58,19 +58,19 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 @contextlib.contextmanager
-def writing(spark: SparkSession) -> Iterator[None]:
-    """The settings of WRITING, put back afterwards."""
+def writing(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What holds while a table is written, put back afterwards: shuffle files go when the query ends, and Python gets bounded batches."""
     with contextlib.ExitStack() as stack:
-        for key, value in WRITING.items():
+        for key, value in ((CLEANUP, "true"), ("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", str(size))):
             stack.enter_context(setting(spark, key, value))
         yield
 
 
-def store(df: DataFrame, tag: str) -> DataFrame:
+def store(df: DataFrame, tag: str, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends, and lost executors cost nothing. The shuffle files that led to it go at
     once, as nothing reads them again."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    with writing(spark):
+    with writing(spark, rows, size):
         df.write.option("compression", "zstd").parquet(path)
     fs, p = _file_system(spark, path)
     fs.deleteOnExit(p)
