@@ -31,6 +31,8 @@ from pyspark.sql.window import Window as W
 from chunkvault.llm.common import portions, store, tidy
 
 CAPACITY, END = 1024, 2
+#: Rows and bytes of texts that are tokenised at a time: in larger batches fewer words repeat.
+TEXT_ROWS, TEXT_BYTES = 1 << 15, 16 << 20
 #: Spaces and line ends at which a cut could change the ids: next to other white space, or at either end of the text; and the mark used below.
 _WHITE = r"\s\p{Z}\x{85}\x{1c}-\x{1f}\x{180e}\x{200b}\x{feff}"
 UNSAFE = rf"(^[ \n]|[ \n]$|[{_WHITE}][ \n]|[ \n][{_WHITE}]|\x00)"
@@ -228,7 +230,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in portions(batches, size=3 << 20):  # fewer, larger batches repeat fewer words
+        for batch in portions(batches, TEXT_ROWS, TEXT_BYTES):
             ids, bounds = Tokens.of(tokenizer).batch(batch.column(1))
             which, piece, start, length, crc, nth, values = [], [], [], [], [], [], []
             for i in range(batch.num_rows):
@@ -260,7 +262,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
 @tidy
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked."""
-    pieces = store(token_pieces(docs, tokenizer, capacity, end, with_ids), "pack-pieces")
+    pieces = store(token_pieces(docs, tokenizer, capacity, end, with_ids), "pack-pieces", TEXT_ROWS, TEXT_BYTES)
     counts = store(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("many")), "pack-counts")
     # At most as many rows as there are lengths.
     histogram = {r["length"]: r["many"] for r in counts.groupBy("length").agg(F.sum("many").alias("many")).collect()}
