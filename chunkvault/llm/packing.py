@@ -32,11 +32,11 @@ from chunkvault.llm.common import portions, store, tidy
 
 CAPACITY, END = 1024, 2
 #: Rows and bytes of texts that are tokenised at a time: in larger batches fewer words repeat.
-TEXT_ROWS, TEXT_BYTES = 1 << 15, 8 << 20
+TEXT_ROWS, TEXT_BYTES = 1 << 15, 4 << 20
 #: Spaces and line ends at which a cut could change the ids: next to other white space, or at either end of the text; and the mark used below.
 _WHITE = r"\s\p{Z}\x{85}\x{1c}-\x{1f}\x{180e}\x{200b}\x{feff}"
 UNSAFE = rf"(^[ \n]|[ \n]$|[{_WHITE}][ \n]|[ \n][{_WHITE}]|\x00)"
-CACHED = 250_000
+CACHED = 600_000
 #: Words that are one pre-token whatever stands around them: Latin letters after at most one space.
 PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
