@@ -36,7 +36,8 @@ TEXT_ROWS, TEXT_BYTES = 1 << 15, 4 << 20
 #: Spaces and line ends at which a cut could change the ids: next to other white space, or at either end of the text; and the mark used below.
 _WHITE = r"\s\p{Z}\x{85}\x{1c}-\x{1f}\x{180e}\x{200b}\x{feff}"
 UNSAFE = rf"(^[ \n]|[ \n]$|[{_WHITE}][ \n]|[ \n][{_WHITE}]|\x00)"
-CACHED = 600_000
+#: Words that are remembered, and their characters and ids together: where words are long, as in scripts without spaces, few are.
+CACHED, CACHED_SIZE = 600_000, 16 << 20
 #: Words that are one pre-token whatever stands around them: Latin letters after at most one space.
 PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
@@ -59,6 +60,7 @@ class Tokens:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.letters = 0
         self.flat, self.used, self.begin, self.size = np.empty(1 << 16, np.uint32), 0, np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
 
     @classmethod
@@ -126,6 +128,7 @@ class Tokens:
         self.begin[first : first + len(parts)] = self.used + np.cumsum(sizes) - sizes
         self.size[first : first + len(parts)] = sizes
         self.used += total
+        self.letters += sum(map(len, parts))
         self.index.update(zip(parts, range(first, first + len(parts)), strict=True))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +140,7 @@ class Tokens:
         parts, starts = lists.flatten(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
         coded = parts.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.index) > CACHED:
+        if len(self.index) > CACHED or self.letters + self.used > CACHED_SIZE:
             self.clear()
         known = self.index
         if new := [w for w in words if w not in known]:

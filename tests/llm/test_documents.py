@@ -294,6 +294,21 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_remembered_words_are_bounded_by_size():
+    """36 MB of distinct long words, far fewer than may be remembered by number, and ids as ever, before and after words are forgotten."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain, coder, most = Tokenizer.from_file(tokenizer_path()), packing.Tokens(tokenizer_path()), 0
+    for k in range(12):
+        text = " ".join(chr(97 + k) + chr(97 + j // 26) + chr(97 + j % 26) + "word" * 1200 for j in range(600))
+        ids, bounds = coder.batch(pa.array([text, "a few words", None]))
+        most = max(most, sum(map(len, coder.index)) + coder.used)
+        own = [plain.encode(t, add_special_tokens=False).ids for t in (text, "a few words", "")] if k % 5 == 0 else []
+        assert all(ids[bounds[i] : bounds[i + 1]].tolist() == x for i, x in enumerate(own))
+    assert most < 24 << 20
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_plan(seed):
     rng = np.random.default_rng(seed)
