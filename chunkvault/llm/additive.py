@@ -1,10 +1,12 @@
-"""Approximate nearest neighbours by cosine: additive quantisation with exact reranking.
+"""Nearest neighbours by cosine: additive quantisation with bounds, and exact scores of all rows that the bounds leave.
 
 Unit vectors are sums of one full-dimensional codeword from each of several codebooks. Codebooks are learnt for each length of vectors, on a
 sample of a documented bound, each on what the ones before leave over; every row is encoded by beam search, with the norm of
-its reconstruction stored. Lengths are worked on in groups whose codebooks have at most BOOK_BYTES, one group after the other,
+its reconstruction and its distance from that stored. Lengths are worked on in groups whose codebooks have at most BOOK_BYTES, one group after the other,
 however many lengths there are. A query's lookup tables hold its inner products with all codewords, so the estimate for a row is a
-sum of table entries over that norm. The best `shortlist` of all rows are scored again on the original vectors.
+sum of table entries over that norm. A row's cosine exceeds that sum by no more than its distance from its reconstruction, so a block scores those rows on
+the original vectors whose bound reaches the k-th score so far, that of the block's `shortlist` best estimates included: no row is missed, however close
+the vectors are to each other or far from what was learnt from. Where codes tell little, more rows are scored, at most all.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
 vec_id; only vectors of equal length meet; repeated vec_ids are rows of their own,
@@ -84,7 +86,7 @@ def codebooks(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def learnt(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack(own.sort_values("nth")["v"].to_list())
-        return pd.DataFrame({"dim": [int(key[0])], "books": [learn(_unit(vectors)).tobytes()]})
+        return pd.DataFrame({"dim": [int(key[0])], "books": [learn(_unit(_scaled(vectors))).tobytes()]})
 
     return chosen.select("dim", "nth", "v").groupBy("dim").applyInPandas(learnt, "dim int, books binary")
 
@@ -101,28 +103,68 @@ def _groups(books: DataFrame) -> Iterator[dict[int, np.ndarray]]:
         group, held = [*group, dim], held + size
 
 
-def _listed(index: DataFrame, books: dict[int, np.ndarray], asked: dict[int, tuple[np.ndarray, np.ndarray]], shortlist: int) -> DataFrame:
-    """For each query the best estimates of each task: rows (query_id, vec_id, score)."""
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, the largest component being between 1/2 and 1: no cosine changes, and no sum of squares over- or underflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
+def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of q with the rows of v, summed from the first component to the last: equal vectors have equal scores wherever they lie."""
+    dot = lambda a, b: np.cumsum(a * b, axis=-1)[..., -1]
+    return dot(q, v) / (np.sqrt(dot(q, q)) * np.sqrt(dot(v, v)))
+
+
+def _stored(v: np.ndarray) -> bytes:
+    """Vectors as single floats where these are the same numbers, else as double ones."""
+    single = v.astype(np.float32)
+    return (single if (single == v).all() else v).tobytes()
+
+
+def _restored(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64 if len(data) == 8 * rows * dim else np.float32).reshape(rows, dim).astype(np.float64)
+
+
+def _kth(x: np.ndarray, k: int) -> float:
+    return float(np.partition(x, len(x) - k)[len(x) - k]) if len(x) >= k else -np.inf
+
+
+def _listed(index: DataFrame, books: dict[int, np.ndarray], asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int, shortlist: int) -> DataFrame:
+    """For each query the k nearest of each task: rows (query_id, vec_id, score)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(shortlist)
+        best = Best(k)
         for batch in portions(batches, 1):
             (block,) = batch.to_pylist() or [None]
             if block is None or block["dim"] not in asked:
                 continue
             q_ids, q = asked[block["dim"]]
+            q, own, book = _scaled(q), _unit(_scaled(q)), books[block["dim"]]
             ids, norms = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["norms"], np.float32)
             codes = np.frombuffer(block["codes"], np.uint8).reshape(-1, len(ids))
+            v = _restored(block["vectors"], len(ids), block["dim"])
+            unit = _unit(v)
+            # Single floats: what a sum of that many products may be off.
+            slack = np.linalg.norm(book, axis=2).max(1).sum() * (block["dim"] + len(book)) * 2.0**-22 + 1e-6
+            beyond = np.frombuffer(block["errors"], np.float32) + np.float32(slack)
             for at in range(0, len(q_ids), QUERIES):
-                tables = np.einsum("qd,bwd->qbw", _unit(q[at : at + QUERIES]).astype(np.float32), books[block["dim"]], optimize=True)
+                tables = np.einsum("qd,bwd->qbw", own[at : at + QUERIES].astype(np.float32), book, optimize=True)
                 for nth, (i, table) in enumerate(zip(q_ids[at : at + QUERIES], tables, strict=True), at):
-                    estimate = sum(t[c] for t, c in zip(table, codes, strict=True)) / norms
-                    estimate[ids == i] = -np.inf
-                    n = min(shortlist, len(ids))
-                    near = np.flatnonzero(estimate >= np.partition(estimate, len(ids) - n)[len(ids) - n])
-                    near = near[np.lexsort((ids[near], -estimate[near]))][:n]
-                    near = near[np.isfinite(estimate[near])]
-                    best.add((block["dim"], nth, int(i)), estimate[near].astype(np.float64), ids[near])
+                    dots, key = sum(t[c] for t, c in zip(table, codes, strict=True)), (block["dim"], nth, int(i))
+                    most = dots + beyond
+                    most[ids == i] = -np.inf
+                    floor = best.floor(key)
+                    floor = -np.inf if floor is None else floor
+                    near = np.flatnonzero((most >= floor) & (most > -np.inf))
+                    if len(near) > shortlist:
+                        estimate = dots[near] / norms[near]
+                        first = near[np.argpartition(estimate, len(near) - shortlist)[len(near) - shortlist :]]
+                        floor = max(floor, _kth(unit[first] @ own[nth], k) - 1e-9)
+                        near = near[most[near] >= floor]
+                    # Products of whole blocks depend on where a row lies in the last bits, so they only choose whom to score.
+                    rough = unit[near] @ own[nth] if 2 * len(near) < len(ids) else (unit @ own[nth])[near]
+                    near = near[rough >= max(floor, _kth(rough, k)) - 1e-9]
+                    if len(near):
+                        best.add(key, _cosines(q[nth], v[near]), ids[near])
         for (_, _, i), (scores, ids) in best.held.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), i)), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
@@ -131,7 +173,8 @@ def _listed(index: DataFrame, books: dict[int, np.ndarray], asked: dict[int, tup
 
 @tidy
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
-    """For each row of queries (vec_id, embedding) the k nearest rows found: query_id, rank, vec_id, score."""
+    """For each row of queries (vec_id, embedding) the k nearest rows: query_id, rank, vec_id, score. shortlist tells how many of a block's rows are
+    scored to have a bound for the others; it changes the time only."""
     nonzero = F.exists("v", lambda x: x != 0)
     rows = store(whole_vectors(vectors).where(nonzero), "aq-rows")
     asked = store(whole_vectors(queries).where(nonzero), "aq-queries")
@@ -140,24 +183,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int =
         for books in _groups(store(codebooks(rows, sample), "aq-books")):
 
             def coded(ids: np.ndarray, v: np.ndarray, books=books) -> dict[str, bytes]:
-                codes, norms = encode(_unit(v), books[v.shape[1]])
-                return {"ids": ids.tobytes(), "codes": codes.T.tobytes(), "norms": norms.tobytes()}
+                v = _scaled(v)
+                (codes, norms), rest = encode(_unit(v), books[v.shape[1]]), _unit(v)
+                for book, words in zip(books[v.shape[1]], codes.T, strict=True):
+                    rest -= book[words]
+                errors = np.linalg.norm(rest, axis=1).astype(np.float32)
+                return {"ids": ids.tobytes(), "codes": codes.T.tobytes(), "norms": norms.tobytes(), "errors": errors.tobytes(), "vectors": _stored(v)}
 
             of_group = F.col("dim").isin(list(books))
-            index = store(blocked(rows.where(of_group), BLOCK, coded, "ids binary, codes binary, norms binary"), "aq-index")
+            index = store(blocked(rows.where(of_group), BLOCK, coded, "ids binary, codes binary, norms binary, errors binary, vectors binary"), "aq-index")
             for some in rounds(asked.where(of_group)):
-                yield nearest(_listed(index, books, some, shortlist), shortlist)
+                yield nearest(_listed(index, books, some, k, max(k, shortlist)), k)
             discard(index)
 
     like = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return nearest(rescored(store_each(lists(), like, "aq-lists"), rows, asked), k)
-
-
-def rescored(listed: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The cosine of the listed pairs on the original vectors."""
-    near = listed.select("query_id", "vec_id").distinct()
-    q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("dim").alias("q_dim"))
-    both = near.join(q, "query_id").join(rows, "vec_id").where("dim = q_dim")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    score = dot("q", "v") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("v", "v")))
-    return both.select("query_id", "vec_id", score.alias("score"))
+    return nearest(store_each(lists(), like, "aq-lists"), k)

@@ -90,6 +90,30 @@ def test_recall_with_a_short_list(spark):
     assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
 
 
+def test_additive_search_misses_none_among_close_ones(spark):
+    """Groups much closer than the codes tell apart, equal vectors, outliers, and magnitudes whose squares over- and underflow."""
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(4, 24))
+    close = np.concatenate([c + 1e-5 * rng.normal(size=(1500, 24)) for c in centres])
+    rest = [np.repeat(rng.normal(size=(1, 24)), 300, 0), rng.standard_cauchy(size=(200, 24)), 1e200 * rng.normal(size=(50, 24)), 1e-200 * rng.normal(size=(50, 24))]
+    v = rng.permutation(np.concatenate([close, *rest]))
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    found = collections.defaultdict(list)
+    for r in additive.search(table, threshold.queries_of(table, 50)).collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    unit = v / np.abs(v).max(1, keepdims=True)
+    for q in range(0, len(v), 50):
+        dot = lambda a, b: np.cumsum(a * b, axis=-1)[..., -1]
+        cos = dot(unit[q], unit) / (np.sqrt(dot(unit[q], unit[q])) * np.sqrt(dot(unit, unit)))
+        got = sorted(found[q])
+        assert [a for a, _, _ in got] == [1, 2, 3, 4, 5] and len({j for _, j, _ in got}) == 5
+        np.testing.assert_allclose([s for _, _, s in got], np.sort(np.delete(cos, q))[::-1][:5], rtol=0, atol=2e-15)
+        assert [(-s, j) for _, j, s in got] == sorted((-s, j) for _, j, s in got)
+    same = [i for i in range(len(v)) if (v[i] == rest[0][0]).all()]
+    asked = [i for i in same if i % 50 == 0]
+    assert asked and all([j for _, j, _ in sorted(found[i])] == [j for j in same if j != i][:5] for i in asked)
+
+
 def test_threshold_algorithm_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(vectors_module, "ROUND_BYTES", 2000)
     monkeypatch.setattr(threshold, "BLOCK", 37)
