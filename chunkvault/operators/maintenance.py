@@ -203,8 +203,12 @@ def touch_outcome(status: Column, attempt: Column) -> Column:
     return F.when(status.between(200, 299), "ok").when(status == 404, "full_snapshot").when(status < 500, "ignored").when(attempt < 3, "retry").otherwise("ignored")
 
 
+def role(kind: Column, first: Column) -> Column:
+    """What a cache tier is; first tells the first one of its kind. Null for remote ones."""
+    return F.when(kind == "read_only", "reader").when((kind == "local") & first, "writer").when(kind == "local", "reader")
+
+
 def roles(targets: DataFrame, owner: str, order: str, kind: str) -> DataFrame:
     """Cache tiers: read-only targets read, the first local one writes and the others read, remote ones are left out."""
     nth = F.row_number().over(W.partitionBy(owner, kind).orderBy(order))
-    role = F.when(F.col(kind) == "read_only", "reader").when((F.col(kind) == "local") & (nth == 1), "writer").when(F.col(kind) == "local", "reader")
-    return targets.withColumn("role", role).where("role is not null")
+    return targets.withColumn("role", role(F.col(kind), nth == 1)).where("role is not null")

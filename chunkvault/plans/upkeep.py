@@ -290,10 +290,12 @@ def json_targets(spark, sf):
     """Target lists from their JSON, one row a target, and the cache tier that each is."""
     e = F.col("event_id").cast("string")
     text = F.replace(F.replace(F.lit(TARGET_JSON), F.lit("c%d"), F.concat(F.lit("c"), e)), F.lit("d%d"), F.concat(F.lit("d"), e))
-    listed = table(spark, sf, "events").select("event_id", F.posexplode(F.from_json(text, TARGETS_SCHEMA)["replication_targets"]).alias("pos", "t"))
-    kind = F.when(F.col("t.s3").isNotNull(), "s3").when(F.col("t.local").isNotNull(), "local").otherwise("read_only")
-    targets = listed.select("event_id", "pos", kind.alias("kind"), F.coalesce("t.s3.chunk_bucket", "t.local.directory", "t.read_only.directory").alias("place"))
-    return targets.join(U.roles(targets, "event_id", "pos", "kind").select("event_id", "pos", "role"), ["event_id", "pos"], "left").select("event_id", "pos", "kind", "place", "role")
+    kind = lambda t: F.when(t["s3"].isNotNull(), "s3").when(t["local"].isNotNull(), "local").otherwise("read_only")
+    lists = table(spark, sf, "events").select("event_id", F.from_json(text, TARGETS_SCHEMA)["replication_targets"].alias("ts"))
+    # A list is one row, so its first local target is found there: no join or window over as many rows as there are targets.
+    listed = lists.withColumn("first", F.array_position(F.transform("ts", kind), "local") - 1).select("event_id", "first", F.posexplode("ts").alias("pos", "t"))
+    place = F.coalesce("t.s3.chunk_bucket", "t.local.directory", "t.read_only.directory").alias("place")
+    return listed.select("event_id", "pos", kind(F.col("t")).alias("kind"), place, U.role(kind(F.col("t")), F.col("pos") == F.col("first")).alias("role"))
 
 
 @query(

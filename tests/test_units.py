@@ -10,6 +10,7 @@ from chunkvault.operators import chunks as C
 from chunkvault.operators import manifests as M
 from chunkvault.operators import snapshots as S
 from chunkvault.operators import tracking as T
+from chunkvault.plans import catalog
 
 G = 64
 
@@ -193,3 +194,9 @@ def test_folds_stream_over_batches(spark):
         level, last = min(30, level + (3 * e - last if last is not None else 0)), 3 * e
         assert granted[e] == (level >= 10)
         level -= 10 * (level >= 10)
+
+
+def test_json_targets_needs_no_join(spark, sf):
+    """Lists by the million: neither shuffled nor broadcast."""
+    plan = catalog.queries()["json_targets"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
