@@ -14,6 +14,7 @@ from chunkvault.operators.chunks import chunk_scan
 from chunkvault.plans.catalog import CHAIN, CHUNKS, FILES, LOG, G, files, query, table, with_, write_log
 from chunkvault.plans.lifecycle import DIFF, DIRTY, MANIFESTS, OLD_NEW
 from chunkvault.plans.upkeep import ENCODED
+from chunkvault.storage import store
 from chunkvault.streaming import jobs
 
 
@@ -107,7 +108,7 @@ def wire_roundtrip(spark, sf):
     )
     sent = files(spark, sf).select("db_id", m.alias("m")).withColumn("raw", to_wire("m")).withColumn("blob", compress("raw"))
     back = sent.withColumn("again", from_wire(plain_or_raw("blob", F.md5("raw"))))
-    return back.select("db_id", (F.to_json("again") == F.to_json("m")).alias("same"))
+    return store(back.select("db_id", (F.to_json("again") == F.to_json("m")).alias("same")), "wire-roundtrip")  # in bounded batches
 
 
 # The second half of August 1998: a tap is taken for 48 hours.

@@ -11,6 +11,7 @@ from chunkvault.operators import manifests as M
 from chunkvault.operators.chunks import chunk_scan
 from chunkvault.plans.catalog import CHUNKS, FILES, LOG, G, files, query, table, with_, write_log
 from chunkvault.plans.lifecycle import DIRTY
+from chunkvault.storage import store
 from chunkvault.streaming import jobs
 
 
@@ -241,7 +242,8 @@ def zstd_arbitration(spark, sf):
 
     blobs = files(spark, sf).select("db_id", "content", F.md5("content").alias("fp"))
     blobs = blobs.withColumn("blob", F.when(F.col("db_id") % 3 == 0, compress(F.col("content"))).otherwise(F.col("content")))
-    return blobs.select("db_id", (plain_or_raw(F.col("blob"), F.col("fp")) == F.col("content")).alias("same"))
+    # Stored here, as only then Python gets batches of bounded bytes: else those of 10,000 texts at a time, copied at each step.
+    return store(blobs.select("db_id", (plain_or_raw(F.col("blob"), F.col("fp")) == F.col("content")).alias("same")), "zstd-arbitration")
 
 
 @query(with_("select fp from chunks where db_id % 2 = 0 union select md5(unhex(string_agg(le, '' order by chunk_index))) from (select db_id, chunk_index, array_to_string(list_reverse(regexp_extract_all(substr(fp, 1, 16), '..')), '') || array_to_string(list_reverse(regexp_extract_all(substr(fp, 17, 16), '..')), '') as le from chunks where db_id % 2 = 0) group by db_id", FILES, CHUNKS))
