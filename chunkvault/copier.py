@@ -136,7 +136,7 @@ class Copier:
 
     def _copy_chunks(self, spool: Spool, chunks: DataFrame) -> int:
         """Puts chunks to the cache and every remote target, each what it lacks; returns how many a target got."""
-        chunks = store(chunks.dropDuplicates(["fp"]), "copier-chunks")
+        chunks = M.once(chunks, ["fp"])  # of commits, which stay until they have gone everywhere
         self.tiers(spool).publish(chunks)
         for target in self.remotes(spool):
             target.put_chunks(chunks)
@@ -156,8 +156,9 @@ class Copier:
     def _tap(self, spool: Spool, manifests: DataFrame) -> None:
         """Keeps the last uploaded manifests; the commits that they supersede go."""
         names = spool.tap.names()
-        newest = M.latest(read_commits(self.spark, spool.tap, META, names).unionByName(manifests.select(*[f.name for f in spool.tapped().schema])), ["db_id"], ["seq"])
-        commit(store(newest, "copier-tap").select(*[f.name for f in manifests.schema]), spool.tap)
+        columns = manifests.columns
+        held = read_commits(self.spark, spool.tap, META, names).select(*columns).unionByName(manifests) if names else manifests
+        commit(M.once(held, ["db_id"], ["seq"]).select(*columns), spool.tap)
         for name in names:
             (spool.tap / name).delete()
 
@@ -194,11 +195,13 @@ class Copier:
             self._step("staged-chunks")
             for name in batch:
                 (spool.chunks / name).delete()
-        first = store(spool.staged_manifests(), "copier-look")
+        first = store(spool.staged_manifests().select("db_id", "identifier"), "copier-look")
         self._step("look")
         if spool.chunks.names() or spool.sets():
             return False  # what was looked at may need chunks that came since, or went to a ready set
-        again = spool.staged_manifests().join(first.select("db_id", F.col("identifier").alias("_seen")), "db_id").where(F.col("identifier") == F.col("_seen")).drop("_seen")
+        staged = spool.staged_manifests()
+        moved = store(staged.select("db_id", "identifier").join(first, ["db_id", "identifier"], "left_anti").select("db_id"), "copier-moved")
+        again = M.without(staged, "db_id", moved)
         known = list(state.staged)
         chosen = store(again if force else again.where(~F.col("identifier").isin(known)) if known else again, "copier-staged")
         newest = chosen.select("identifier").orderBy(F.col("seq").desc(), "db_id").limit(2).collect()

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chunkvault.operators.chunks import GRANULARITY, chunk_count, chunk_scan, header_fingerprint, list_fingerprint
+from chunkvault.storage import discard, store
 
 #: A base list is worth keeping from this many words on (fixed value).
 BASE_WORDS = 600
+#: Up to so many repeated keys are told apart from the other rows, which then aren't shuffled.
+MANY_KEYS = 100_000
 
 
 def build_manifests(files: DataFrame, granularity: int = GRANULARITY) -> DataFrame:
@@ -79,6 +82,41 @@ def latest(manifests: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return manifests.groupBy(*key).agg(last).select(*key, "m.*")
 
 
+def once(rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """The last row of each key, or any of them if no order is given. Only keys are shuffled: rows whose key is not repeated stay where they are, with
+    their bytes, and where none is, rows are returned as they are."""
+    counts = rows.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    again = store(counts, "repeated-keys")
+    many = again.count()
+    if not many:
+        discard(again)
+        return rows
+    nth = F.row_number().over(W.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order or key]))
+    first = lambda some: some.withColumn("_nth", nth).where("_nth = 1").select(*rows.columns)
+    if many > MANY_KEYS:  # as many as would shuffle all rows to be found, and once more to be left out
+        return first(rows)
+    return rows.join(again, key, "left_anti").select(*rows.columns).unionByName(first(rows.join(again, key, "left_semi")))
+
+
+def lacking(rows: DataFrame, key: str, held: DataFrame) -> DataFrame:
+    """Rows whose key is not among those of held. Keys are compared first; where none is there, rows are returned as they are, and else only
+    the keys that are meet the rows."""
+    known = store(rows.select(key).join(held.select(key), key, "left_semi").distinct(), "known-keys")
+    return without(rows, key, known)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows whose key is not in gone, which is a stored table."""
+    return rows if gone.isEmpty() else rows.join(gone, key, "left_anti").select(*rows.columns)
+
+
+def within(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is among those of wanted. Keys are compared first; where all are, rows are returned as they are."""
+    if rows.select(key).join(wanted.select(key), key, "left_anti").isEmpty():
+        return rows
+    return rows.join(wanted.select(key), key, "left_semi").select(*rows.columns)
+
+
 def as_of(manifests: DataFrame, probes: DataFrame, key: str, at: str, seen: str) -> DataFrame:
     """For each probe the last manifest of its key not after it, by one window over both."""
     rest = [c for c in manifests.columns if c not in (key, seen)]
@@ -151,7 +189,13 @@ def rebased(manifests: DataFrame, bases: DataFrame) -> DataFrame:
 def decode_and_validate(manifests: DataFrame, chunks: DataFrame, need_header: bool = True) -> DataFrame:
     """Manifests with fps, the true list, and error, null for a sound one: the base chunk is fetched from chunks (fp, data) and folded out,
     and the list must have the fingerprint that the manifest says."""
-    both = manifests.join(chunks.select(F.col("fp").alias("base_fp"), F.col("data").alias("_base")), "base_fp", "left")
+    # Only the chunks that are asked for as bases are looked at.
+    wanted = store(manifests.where("base_fp is not null").select("base_fp").distinct(), "bases")
+    if wanted.isEmpty():
+        both = manifests.withColumn("_base", F.lit(None).cast("binary"))
+    else:
+        bases = chunks.select(F.col("fp").alias("base_fp"), F.col("data").alias("_base")).join(wanted, "base_fp", "left_semi").dropDuplicates(["base_fp"])
+        both = manifests.join(bases, "base_fp", "left")
     base = F.when(F.col("base_fp").isNotNull(), words_of_bytes(F.col("_base")))
     true = both.withColumn("words", xor_base(F.coalesce("words", F.array().cast("array<bigint>")), base)).withColumn("fps", fingerprints_of(F.col("words")))
     error = F.when(F.col("contents_fp").isNull(), "missing contents_fp").when(F.lit(need_header) & F.col("header_fp").isNull(), "missing header_fp")

@@ -72,15 +72,15 @@ class Spool:
 
     def staged_manifests(self) -> DataFrame:
         """The newest staged manifest of each file."""
-        return M.latest(read_commits(self.spark, self.meta, META), ["db_id"], ["seq"])
+        return M.once(read_commits(self.spark, self.meta, META), ["db_id"], ["seq"])
 
     def tapped(self) -> DataFrame:
         """The last uploaded manifest of each file."""
-        return M.latest(read_commits(self.spark, self.tap, META), ["db_id"], ["seq"])
+        return M.once(read_commits(self.spark, self.tap, META), ["db_id"], ["seq"])
 
     def current(self) -> DataFrame:
-        """What a producer goes on from: the newest manifests in any state."""
-        held = [read_commits(self.spark, f, META) for f in [self.meta, self.tap, *(f / "meta" for f in self.sets())]]
+        """What a producer goes on from: the newest manifests in any state, without lists and bytes."""
+        held = [read_commits(self.spark, f, META).drop("words", "bundled") for f in [self.meta, self.tap, *(f / "meta" for f in self.sets())]]
         return M.latest(functools.reduce(DataFrame.unionByName, held), ["db_id"], ["seq"])
 
     def sets(self) -> list[Folder]:
@@ -94,31 +94,55 @@ class Spool:
         New chunks are staged, then manifests; base says what is done about base chunks (see manifests.base_action): reuse keeps that of the
         manifest before, refresh writes a new one from the list, none has none. Returns the new manifests, without a base."""
         known = self.current().select("db_id", F.col("contents_fp").alias("_old"), F.col("version").alias("_version"), F.col("seq").alias("_seq"), F.col("base_fp").alias("_base"))
-        built = M.manifest_rows(files.withColumn("seq", F.lit(0).cast("long")), self.granularity).join(known, "db_id", "left")
-        # An empty version matches nothing, not even itself.
-        same = (F.col("version") == F.col("_version")) & (F.col("version") != "") & (F.col("contents_fp") == F.col("_old"))
-        changed = built.where(~F.coalesce(same, F.lit(False))).withColumn("seq", F.coalesce(F.col("_seq") + 1, F.lit(0).cast("long")))
-        changed = store(changed.select(*built.columns).drop("_old", "_version", "_seq"), "spool-changed")
-        scanned = C.chunk_scan(files.join(changed.select("db_id"), "db_id", "left_semi"), self.granularity, with_data=True)
-        needed = scanned.where(~F.col("begin").isin(*M.BUNDLED_OFFSETS))
-        fresh = C.chunk_store(needed, self.granularity).select("fp", "size", "data")
+        built = M.manifest_rows(files.withColumn("seq", F.lit(0).cast("long")), self.granularity)
+        new = self._fresh()
+        if new:
+            changed = built.withColumn("_base", F.lit(None).cast("string"))
+        else:
+            # Of files that have a manifest only facts meet it; files that have changed, or are unknown, are then told by the ids of the others.
+            facts = built.select("db_id", "version", "contents_fp").join(known, "db_id")
+            # An empty version matches nothing, not even itself.
+            same = (F.col("version") == F.col("_version")) & (F.col("version") != "") & (F.col("contents_fp") == F.col("_old"))
+            seen = store(facts.select("db_id", "_seq", "_base", F.coalesce(same, F.lit(False)).alias("_same")), "spool-seen")
+            files = M.without(files, "db_id", seen.where("_same").select("db_id"))
+            later = seen.where("not _same").select("db_id", "_seq", "_base")
+            built = M.manifest_rows(files.withColumn("seq", F.lit(0).cast("long")), self.granularity)
+            changed = built.withColumn("_base", F.lit(None).cast("string"))
+            if not later.isEmpty():
+                changed = built.join(later, "db_id", "left").withColumn("seq", F.coalesce(F.col("_seq") + 1, F.lit(0).cast("long"))).select(*built.columns, "_base")
+        changed = store(changed, "spool-changed")
+        scanned = C.chunk_scan(files, self.granularity, with_data=True)
+        needed = scanned.where(~F.col("begin").isin(*M.BUNDLED_OFFSETS) & (F.col("fp") != C.zero_fingerprint(self.granularity)))
+        fresh = M.once(needed.select("fp", "size", "data"), ["fp"])
         manifests = changed.drop("_base")
         if base == "refresh":
             lists = changed.select(F.md5(M.bytes_of_words(F.col("words"))).alias("fp"), F.octet_length(M.bytes_of_words(F.col("words"))).cast("long").alias("size"), M.bytes_of_words(F.col("words")).alias("data"))
             fresh = fresh.unionByName(lists.where("size > 0").dropDuplicates(["fp"]))
             manifests = manifests.withColumn("base_fp", F.when(F.size("words") > 0, F.md5(M.bytes_of_words(F.col("words")))))
             folded = manifests.withColumn("words", F.when(F.col("base_fp").isNotNull(), F.transform("words", lambda _: F.lit(0).cast("long"))).otherwise(F.col("words")))
-        elif base == "reuse":
-            bases = self.staged_chunks().unionByName(self.taken_chunks()).select(F.col("fp").alias("base_fp"), "data").dropDuplicates(["base_fp"])
-            kept = changed.withColumn("base_fp", F.col("_base")).drop("_base").join(bases.select("base_fp"), "base_fp", "left_semi").select(*manifests.columns)
-            folded = M.rebased(kept, bases).unionByName(manifests.join(kept.select("db_id"), "db_id", "left_anti"))
+        elif base == "reuse" and not new:
+            folded = self._reusing(changed, manifests)
         else:
             folded = manifests
-        absent = fresh.join(self.staged_chunks().select("fp"), "fp", "left_anti").select("fp", "size", "data")
+        absent = M.lacking(fresh, "fp", self.staged_chunks()) if self.chunks.names() else fresh
         commit(absent, self.chunks)
         commit(folded.withColumn("identifier", F.uuid()).select(*[x.split()[0] for x in META.split(", ") if ":" not in x.split()[0]]), self.meta)
         return manifests
 
+    def _reusing(self, changed: DataFrame, manifests: DataFrame) -> DataFrame:
+        """Manifests folded with the base chunks of the ones before, as far as these are here."""
+        own = changed.where("_base is not null").withColumn("base_fp", F.col("_base")).drop("_base")
+        wanted = store(own.select(F.col("base_fp").alias("fp")).distinct(), "spool-bases")
+        if wanted.isEmpty():
+            return manifests
+        bases = store(self.staged_chunks().unionByName(self.taken_chunks()).join(wanted, "fp", "left_semi").select(F.col("fp").alias("base_fp"), "data").dropDuplicates(["base_fp"]), "spool-bases")
+        kept = own.join(bases.select("base_fp"), "base_fp", "left_semi").select(*manifests.columns)
+        return M.rebased(kept, bases).unionByName(manifests.join(kept.select("db_id"), "db_id", "left_anti"))
+
+    def _fresh(self) -> bool:
+        """Whether nothing is known of any file yet."""
+        return not self.meta.names() and not self.tap.names() and not self.sets()
+
     def taken_chunks(self) -> DataFrame:
         """Chunks of ready and consuming sets."""
         held = [read_commits(self.spark, f / "chunks", CHUNKS) for f in self.sets()]
@@ -126,7 +150,7 @@ class Spool:
 
     def live(self) -> DataFrame:
         """Fingerprints that the newest staged manifests need: their lists and their base chunks."""
-        decoded = M.decode_and_validate(self.staged_manifests(), self.staged_chunks().unionByName(self.taken_chunks()).dropDuplicates(["fp"]), need_header=False)
+        decoded = M.decode_and_validate(self.staged_manifests(), self.staged_chunks().unionByName(self.taken_chunks()), need_header=False)
         bases = decoded.where("base_fp is not null").select(F.col("base_fp").alias("fp"))
         return decoded.select(F.explode("fps").alias("fp")).unionByName(bases).distinct()
 
@@ -134,9 +158,9 @@ class Spool:
         """Publishes the newest manifests with those of their chunks that are staged as one ready set, unless one waits already."""
         if not self.ready.empty_or_absent() or self.meta.empty_or_absent():
             return False
-        staged = self.staged_chunks().dropDuplicates(["fp"])
+        staged = M.once(self.staged_chunks(), ["fp"])
         scratch = self.root / f"ready.scratch/{uuid.uuid4().hex}"
-        staged.join(self.live(), "fp", "left_semi").select("fp", "size", "data").write.parquet(f"{scratch.path}/chunks/0")
+        M.within(staged, "fp", self.live()).select("fp", "size", "data").write.parquet(f"{scratch.path}/chunks/0")
         self.staged_manifests().write.parquet(f"{scratch.path}/meta/0")
         return scratch.rename(self.ready / uuid.uuid4().hex)
 

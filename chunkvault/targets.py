@@ -15,6 +15,7 @@ from chunkvault.operators import chunks as C
 from chunkvault.operators import manifests as M
 from chunkvault.operators import snapshots as S
 from chunkvault.spool import CHUNKS, META, commit, read_commits
+from chunkvault.storage import store
 
 #: Fixed value: hours for which a local copy of a manifest is taken for the newest.
 LOCAL_HOURS = 48
@@ -40,18 +41,19 @@ class Target:
 
     def manifests(self) -> DataFrame:
         """The newest manifest of each name."""
-        return M.latest(read_commits(self.spark, self.manifests_at, HELD), ["name"], ["seq", "uploaded"])
+        return M.once(read_commits(self.spark, self.manifests_at, HELD), ["name"], ["seq", "uploaded"])
 
     def put_chunks(self, chunks: DataFrame) -> None:
         """Adds chunks (fp, size, data) that the target lacks."""
         self.ensure()
-        commit(chunks.dropDuplicates(["fp"]).join(self.chunks().select("fp"), "fp", "left_anti").select("fp", "size", "data"), self.chunks_at)
+        new = M.once(chunks, ["fp"])
+        commit((M.lacking(new, "fp", self.chunks()) if self.chunks_at.names() else new).select("fp", "size", "data"), self.chunks_at)
 
     def put_manifests(self, manifests: DataFrame, now: Column) -> None:
         """Adds manifests; one that is older than what the target has changes nothing, as the newest is read."""
         self.ensure()
         named = manifests.withColumn("name", manifest_name(F.col("host"), F.col("path"))).withColumn("uploaded", now.cast("timestamp"))
-        commit(named.select(*[f.name for f in self.manifests().schema]), self.manifests_at)
+        commit(named.select("name", *manifests.columns, "uploaded"), self.manifests_at)
 
     def touch(self, fps: DataFrame, now: Column) -> DataFrame:
         """Notes that chunks (fp) are still needed; returns those that the target lacks."""
@@ -74,8 +76,9 @@ class Tiers:
         remote = [t.manifests() for t in self.remotes]
         tiers = S.tiered_manifests(names, [t.select("name", "at") for t in local], [t.select("name") for t in remote], now, LOCAL_HOURS)
         columns = [f.name for f in self.remotes[0].manifests().schema if f.name != "uploaded"] if self.remotes else ["name", *[f.name for f in self.taps[0].schema]]
-        held = [t.select(*columns, F.lit(i).alias("tier")) for i, t in enumerate([*local, *remote])]
-        return functools.reduce(DataFrame.unionByName, held).join(tiers.where("tier is not null"), ["name", "tier"]).select(*columns, "tier")
+        tiers = store(tiers.where("tier is not null"), "tiers")
+        held = [M.within(t.select(*columns), "name", tiers.where(F.col("tier") == i)).withColumn("tier", F.lit(i)) for i, t in enumerate([*local, *remote])]
+        return functools.reduce(DataFrame.unionByName, held)
 
     def chunks(self, fps: DataFrame, known: DataFrame | None = None, granularity: int = C.GRANULARITY) -> DataFrame:
         """Rows (fp, data, tier) of distinct fingerprints: known chunks and the well-known one first, then caches, then remotes; data is null where no
@@ -84,12 +87,16 @@ class Tiers:
         zeros = wanted.sparkSession.createDataFrame([("00" * granularity,)], "h string").select(F.md5(F.unhex("h")).alias("fp"), F.unhex("h").alias("data"))
         tiers = [known.select("fp", "data").unionByName(zeros) if known is not None else zeros, *[t.chunks().select("fp", "data") for t in [*self.caches, *self.remotes]]]
         found = wanted.withColumns({"data": F.lit(None).cast("binary"), "tier": F.lit(None).cast("int")})
-        # A tier is asked only for what the ones before lack.
-        out, left = [], wanted
+        # A tier is asked only for what the ones before lack; which one has what is told by names alone, and bytes stay where they are till then.
+        out, left = [], store(wanted, "wanted")
+        if left.isEmpty():
+            return found
         for i, tier in enumerate(tiers):
-            hits = tier.where(F.md5("data") == F.col("fp")).join(left, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "data", F.lit(i).alias("tier"))
-            out.append(hits)
-            left = left.join(tier.where(F.md5("data") == F.col("fp")).select("fp"), "fp", "left_anti")
+            sound = tier.where(F.md5("data") == F.col("fp"))
+            hits = store(sound.select("fp").join(left, "fp", "left_semi").distinct(), "tier-has")
+            if not hits.isEmpty():
+                out.append(M.once(M.within(sound, "fp", hits), ["fp"]).select("fp", "data", F.lit(i).alias("tier")))
+                left = store(left.join(hits, "fp", "left_anti"), "wanted")
         return functools.reduce(DataFrame.unionByName, [*out, found.join(left, "fp", "left_semi").select("fp", "data", "tier")])
 
     def publish(self, chunks: DataFrame) -> DataFrame | None:
@@ -99,7 +106,7 @@ class Tiers:
         held = [c.chunks().select("fp") for c in self.caches[1:]]
         second = functools.reduce(DataFrame.unionByName, held) if held else self.caches[0].chunks().select("fp").limit(0)
         actions = S.cache_publish(chunks, self.caches[0].chunks(), second)
-        self.caches[0].put_chunks(chunks.join(actions.where("action <> 'accept'"), "fp", "left_semi"))
+        self.caches[0].put_chunks(chunks)  # what is accepted is there, and stays
         return actions
 
     def decoded(self, manifests: DataFrame) -> DataFrame:
@@ -109,12 +116,14 @@ class Tiers:
 
     def places(self, manifests: DataFrame, granularity: int = C.GRANULARITY, index: Column | None = None) -> DataFrame:
         """Chunk places (db_id, chunk_index, begin, size, fp, data) of decoded manifests, or only those where index holds; bundled bytes come from the manifests."""
-        lists = M.listed(manifests).join(manifests.select("db_id", "len"), "db_id")
+        # What a manifest bundles is put into its list within its row.
+        own = lambda fp, i: F.get(F.filter("bundled", lambda b: (b["chunk_index"] == i) & (b["fp"] == fp)), F.lit(0))["data"]
+        places = F.transform("fps", lambda fp, i: F.struct(i.cast("long").alias("chunk_index"), fp.alias("fp"), own(fp, i).alias("data")))
+        lists = manifests.select("db_id", "len", F.explode(places).alias("p")).select("db_id", "len", "p.*")
         lists = lists.where(index) if index is not None else lists
-        bundled = manifests.select("db_id", F.explode("bundled").alias("b")).select("db_id", F.col("b.chunk_index").alias("chunk_index"), F.col("b.fp").alias("fp"), F.col("b.data").alias("data"))
-        outside = lists.join(bundled.select("db_id", "chunk_index", "fp"), ["db_id", "chunk_index", "fp"], "left_anti")
-        fetched = lists.join(self.chunks(outside, granularity=granularity).select("fp", "data"), "fp", "left")
-        whole = M.substitute_bundled(fetched, bundled)
+        outside = lists.where("data is null").drop("data")
+        fetched = outside.join(self.chunks(outside, granularity=granularity).select("fp", "data"), "fp", "left")
+        whole = lists.where("data is not null").unionByName(fetched)
         begin = F.col("chunk_index") * granularity
         return whole.select("db_id", "chunk_index", begin.alias("begin"), F.least(F.lit(granularity).cast("long"), F.col("len") - begin).alias("size"), "fp", "data")
 

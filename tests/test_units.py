@@ -200,3 +200,16 @@ def test_json_targets_needs_no_join(spark, sf):
     """Lists by the million: neither shuffled nor broadcast."""
     plan = catalog.queries()["json_targets"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_rows_whose_keys_are_not_repeated_stay_where_they_are(spark, monkeypatch):
+    """Chunks and manifests carry bytes: only keys are compared, and rows are shuffled only as far as keys repeat or are known."""
+    rows = spark.createDataFrame([("a", 1, b"x"), ("b", 1, b"y"), ("b", 2, b"z")], "k string, seq int, data binary")
+    lone, held = rows.where("seq = 1"), spark.createDataFrame([("b",), ("c",)], "k string")
+    assert M.once(lone, ["k"], ["seq"]) is lone
+    assert M.lacking(lone, "k", held.where("k = 'c'")) is lone and M.within(lone, "k", rows) is lone
+    for many in (100_000, 0):
+        monkeypatch.setattr(M, "MANY_KEYS", many)
+        assert sorted((r.k, bytes(r.data)) for r in M.once(rows, ["k"], ["seq"]).collect()) == [("a", b"x"), ("b", b"z")]
+        assert sorted(r.k for r in M.once(rows, ["k"]).collect()) == ["a", "b"]
+    assert [r.k for r in M.lacking(rows, "k", held).collect()] == ["a"] and [r.k for r in M.within(lone, "k", held).collect()] == ["b"]
